@@ -11,6 +11,7 @@ from .fingerprints import edited_fingerprints
 from .katz import katz_scores
 from .language_id import identify
 from .mixing import mix_sources
+from .ngram_join import ngram_join
 from .quality import quality
 from .substring_dedup import substring_dedup
 
@@ -23,6 +24,10 @@ def _fold(n: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_read(spark, sf_dir, "documents"), 4, 85)
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_read(spark, sf_dir, "documents"))
 
