@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .fingerprints import edited_fingerprints
 from .katz import katz_scores
 from .language_id import identify
+from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .quality import quality
@@ -36,6 +37,10 @@ def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_read(spark, sf_dir, "documents"))
 
