@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one Arrow batch and one vectorised slice hold at most (a single longer text stands alone).
-BATCH_BYTES = 16 << 20
-SLICE_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 _LOCAL: dict[str, str] = {}
 
 
@@ -39,7 +39,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["written_path"] = path
+    return out
+
+
+def drop(*frames: DataFrame | None) -> None:
+    """Delete what ``written`` wrote for these frames; nothing lazy may depend on them any more."""
+    for df in frames:
+        path = df.__dict__.get("written_path") if df is not None else None
+        if path:
+            spark = df.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -54,6 +66,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Give freed memory of this Python worker back: workers live on and are reused."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ---------------------------------------------------------------- blobs
 
 
@@ -100,6 +123,8 @@ def buckets_of(batches: Iterator[pa.RecordBatch], column: str = "b") -> Iterator
             held.append(row)
     if held:
         yield now, held
+    held = None
+    trim()
 
 
 def dealt(df: DataFrame, n: int, column: str = "b") -> DataFrame:

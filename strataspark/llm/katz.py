@@ -11,7 +11,7 @@ Flow (all in packed columns):
 1. chunks: texts become sequences of chunk-local word numbers, kept in a table;
    each chunk asks the word partitions about its distinct words;
 2. words: partitions by word hash sum training counts and answer each chunk;
-3. pairs: chunks send (history, word, document) to partitions by history;
+3. pairs: chunks send (history, 40 bits of the word's hash, document) to partitions by history;
    histories that alone would fill a quarter of a partition are split by word,
    their backoff sums are added up afterwards (their number is bounded by four a partition);
 4. documents: partial log probabilities meet by chunk.
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt, buckets_of, pack, prepare, release, runs, unpack, written
+from .common import buckets_of, dealt, drop, pack, prepare, release, runs, unpack, written
 from .textops import Words, slices
 
 K = 5
@@ -39,6 +39,7 @@ END, BEGIN = np.uint64(1), np.uint64(2)
 CHUNK_BYTES = 8 << 20
 PARTITION_TOKENS = 3 << 20
 LEAST_PARTITIONS = 64
+PARTS = 2
 
 ROW = "kind int, b int, chunk long, x binary, y binary, z binary"
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -106,11 +107,15 @@ def _chunk_rows(n_buckets: int):
             seen = np.bincount(local[train[of]], minlength=len(vocab))
             chunk = (part << 24) + seq
             seq += 1
+            # numbers by frequency compress well: the frequent words have the small ones
+            by_use = np.argsort(-np.bincount(local, minlength=len(vocab)), kind="stable")
+            number = np.empty(len(vocab), np.uint32)
+            number[by_use] = np.arange(len(vocab), dtype=np.uint32)
             meta = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), (counts + 1).astype(np.uint32), train.astype(np.uint8) | (null.astype(np.uint8) << 1))
-            rows = [(0, -1, chunk, pack(vocab), pack(local.astype(np.uint32)), meta)]
+            rows = [(0, -1, chunk, None, pack(number[local]), meta)]
             b = _bucket(vocab, n_buckets)
             first, n = runs(b)
-            rows += [(1, int(b[f]), chunk, pack(vocab[f : f + m], seen[f : f + m].astype(np.uint32)), None, None) for f, m in zip(first, n)]
+            rows += [(1, int(b[f]), chunk, pack(vocab[f : f + m]), pack(seen[f : f + m].astype(np.uint32)), pack(number[f : f + m])) for f, m in zip(first, n)]
             yield _batch(rows)
 
     return chunks
@@ -119,13 +124,13 @@ def _chunk_rows(n_buckets: int):
 def _answers(batches):
     """Training counts of each chunk's words; counts of counts as a row of kind 2."""
     for b, rows in buckets_of(batches):
-        parts = [unpack(r["x"], np.uint64, np.uint32) for r in rows]
+        parts = [(unpack(r["x"], np.uint64)[0], unpack(r["y"], np.uint32)[0]) for r in rows]
         words, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         count = np.bincount(where, weights=np.concatenate([p[1] for p in parts]), minlength=len(words)).astype(np.int64)
         stats = np.concatenate((np.bincount(np.minimum(count, K + 2), minlength=K + 3)[: K + 2], [count.sum(), (count > 0).sum()])).astype(np.int64)
         out, at = [(2, b, -1, stats.tobytes(), None, None)], 0
         for r, p in zip(rows, parts):
-            out.append((1, b, r["chunk"], pack(count[where[at : at + len(p[0])]].astype(np.uint64)), None, None))
+            out.append((4, b, r["chunk"], pack(count[where[at : at + len(p[0])]].astype(np.uint64)), None, None))
             at += len(p[0])
         yield _batch(out)
 
@@ -134,8 +139,14 @@ def _pair_rows(n_buckets: int, hot: int, lm, documents: int):
     def pairs(batches):
         for chunk, rows in buckets_of(batches, "chunk"):
             own = next(r for r in rows if r["kind"] == 0)
-            vocab, local, (ids, counts, flags) = unpack(own["x"], np.uint64)[0], unpack(own["y"], np.uint32)[0].astype(np.int64), unpack(own["z"], np.int64, np.uint32, np.uint8)
-            count = np.concatenate([unpack(r["x"], np.uint64)[0] for r in sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["b"])]).astype(np.int64)
+            local, (ids, counts, flags) = unpack(own["y"], np.uint32)[0], unpack(own["z"], np.int64, np.uint32, np.uint8)
+            asked = sorted((r for r in rows if r["kind"] == 1), key=lambda r: r["b"])
+            told = sorted((r for r in rows if r["kind"] == 4), key=lambda r: r["b"])
+            vocab = np.concatenate([unpack(r["x"], np.uint64)[0] for r in asked])
+            number = np.empty(len(vocab), np.int64)
+            number[np.concatenate([unpack(r["z"], np.uint32)[0] for r in asked])] = np.arange(len(vocab))
+            local = number[local]
+            count = np.concatenate([unpack(r["x"], np.uint64)[0] for r in told]).astype(np.int64)
             of = np.repeat(np.arange(len(counts)), counts)
             starts = np.cumsum(counts.astype(np.int64)) - counts
             c = count[local]
@@ -159,13 +170,91 @@ def _pair_rows(n_buckets: int, hot: int, lm, documents: int):
                 hs, hn = runs(history[f : f + m])
                 hk = history[f : f + m][hs]
                 ws, wi = np.unique(local[f : f + m], return_inverse=True)
-                rows.append((1, int(spot[f]), chunk, pack(h_hash[hk], h_count[hk].astype(np.uint64), hn.astype(np.uint32)), pack(vocab[ws], count[ws].astype(np.uint64)), pack(wi.astype(np.uint32), tag[f : f + m])))
+                rows.append((1, int(spot[f]), chunk, pack(h_hash[hk], h_count[hk].astype(np.uint64), hn.astype(np.uint32)), pack((vocab[ws] >> np.uint64(32)).astype(np.uint32), (vocab[ws] >> np.uint64(24)).astype(np.uint8), count[ws].astype(np.uint64)), pack(wi.astype(np.uint32), tag[f : f + m])))
             for lo in range(0, len(rows), 32):
                 yield _batch(rows[lo : lo + 32])
 
     return pairs
 
 
+def _looked_up(parts: list[tuple[np.ndarray, np.ndarray]], keys: np.ndarray) -> np.ndarray:
+    """Values of ``keys`` in the dictionaries of all chunks, which agree."""
+    key, value = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((value, key))
+    key, value = key[order], value[order]
+    return value[np.searchsorted(key, keys)]
+
+
+def _part(b: int, rows: list[dict], part: int, hot: int, u: Unigrams) -> list[tuple]:
+    """Counts, discounts, backoff weights and partial scores of one part of a partition's histories."""
+    hs, ws, tags, where, h_dict, w_dict = [], [], [], [], [], []
+    chunks = [r["chunk"] for r in rows]
+    for k, r in enumerate(rows):
+        h, c, n = unpack(r["x"], np.uint64, np.uint64, np.uint32)
+        w, low, cw = unpack(r["y"], np.uint32, np.uint8, np.uint64)
+        w = (w.astype(np.uint64) << np.uint64(8)) | low
+        wi, tag = unpack(r["z"], np.uint32, np.uint32)
+        mine = (h >> np.uint64(5)) % np.uint64(PARTS) == part
+        each = np.repeat(mine, n)
+        hs.append(np.repeat(h[mine], n[mine]))
+        ws.append(w[wi[each]])
+        tag = tag[each]
+        h_dict.append((h, c.astype(np.int64)))
+        w_dict.append((w, cw.astype(np.int64)))
+        tags.append(tag)
+        where.append(np.full(len(tag), k, np.uint32))
+    h, w = np.concatenate(hs), np.concatenate(ws)
+    if not len(h):
+        return []
+    del hs, ws
+    order = np.lexsort((w, h))
+    h, w = h[order], w[order]
+    tag, where = np.concatenate(tags)[order], np.concatenate(where)[order]
+    del tags, order
+    new_h = np.concatenate(([True], h[1:] != h[:-1]))
+    pair = np.flatnonzero(new_h | np.concatenate(([True], w[1:] != w[:-1])))
+    pair_w = w[pair]
+    del w
+    n_pair = np.diff(np.append(pair, len(h)))
+    r = np.add.reduceat((tag & 1).astype(np.int64), pair)
+    d = discounts(np.bincount(np.minimum(r, K + 2), minlength=K + 3)[: K + 2])
+    dr = r * np.where(r <= K, d[np.minimum(r, K)], 1.0)
+    p1 = u.p(_looked_up(w_dict, pair_w))
+    first_pair = np.flatnonzero(new_h[pair])
+    kept = np.add.reduceat(dr, first_pair)
+    back = np.add.reduceat(np.where(r > 0, p1, 0.0), first_pair)
+    c = _looked_up(h_dict, h[pair][first_pair]).astype(np.float64)
+    big = c > hot
+    count = np.diff(np.append(first_pair, len(pair)))
+    # a history without any discounted pair sets one more token aside
+    full = (c > 0) & (kept >= c - 1e-9)
+    below = np.where(big | full, c + 1, np.maximum(c, 1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        alpha = np.where(c > 0, (below - kept) / below / np.maximum(1 - back, 1e-12), 1.0)
+        by_pair = np.where(r > 0, np.log10(dr) - np.repeat(np.log10(below), count), np.log10(p1) + np.repeat(np.where(big, 0.0, np.log10(alpha)), count))
+    token = np.repeat(by_pair, n_pair)
+    # sums for each chunk and document
+    key = (where.astype(np.int64) << 32) | (tag >> 1)
+    keys, at = np.unique(key, return_inverse=True)
+    value = np.bincount(at, weights=token, minlength=len(keys))
+    f, n = runs(keys >> 32)
+    out = [(1, -1, chunks[int(keys[i] >> 32)], pack((keys[i : i + m] & 0xFFFFFFFF).astype(np.uint32), value[i : i + m].astype(np.float32)), None, None) for i, m in zip(f, n)]
+    if big.any():  # of the split histories: sums for alpha, and which documents wait for it
+        hot_h = h[pair][first_pair]
+        out += [(3, b, -1, np.array([hot_h[i]], np.uint64).tobytes(), np.array([c[i], kept[i], back[i]]).tobytes(), None) for i in np.flatnonzero(big)]
+        waits = np.repeat(np.repeat(big, count) & (r == 0), n_pair)
+        hh, kk = h[waits], key[waits]
+        o = np.lexsort((hh, kk))
+        hh, kk = hh[o], kk[o]
+        if len(kk):
+            f = np.flatnonzero(np.concatenate(([True], (kk[1:] != kk[:-1]) | (hh[1:] != hh[:-1]))))
+            n_wait = np.diff(np.append(f, len(kk)))
+            kk, hh = kk[f], hh[f]
+            f, n = runs(kk >> 32)
+            out += [(2, -1, chunks[int(kk[i] >> 32)], pack((kk[i : i + m] & 0xFFFFFFFF).astype(np.uint32), hh[i : i + m], n_wait[i : i + m].astype(np.uint32)), None, None) for i, m in zip(f, n)]
+    return out
+
+
 def _scores(hot: int, lm):
     def each(batches):
         for b, rows in buckets_of(batches):
@@ -173,65 +262,10 @@ def _scores(hot: int, lm):
                 for r in rows:
                     yield _batch([(0, -1, r["chunk"], r["x"], r["y"], None)])
                 continue
-            hs, cs, ws, ps, tags, where = [], [], [], [], [], []
-            chunks = [r["chunk"] for r in rows]
-            for k, r in enumerate(rows):
-                h, c, n = unpack(r.pop("x"), np.uint64, np.uint64, np.uint32)
-                w, cw = unpack(r.pop("y"), np.uint64, np.uint64)
-                wi, tag = unpack(r.pop("z"), np.uint32, np.uint32)
-                hs.append(np.repeat(h, n))
-                cs.append(np.repeat(c.astype(np.int64), n))
-                ws.append(w[wi])
-                ps.append(cw.astype(np.int64)[wi])
-                tags.append(tag)
-                where.append(np.full(len(tag), k, np.uint32))
-            h, w = np.concatenate(hs), np.concatenate(ws)
-            order = np.lexsort((w, h))
-            h, w = h[order], w[order]
-            ch, cw, tag, where = np.concatenate(cs)[order], np.concatenate(ps)[order], np.concatenate(tags)[order], np.concatenate(where)[order]
-            del hs, cs, ws, ps, tags
-            new_h = np.concatenate(([True], h[1:] != h[:-1]))
-            pair = np.flatnonzero(new_h | np.concatenate(([True], w[1:] != w[:-1])))
-            del w
-            n_pair = np.diff(np.append(pair, len(h)))
-            r = np.add.reduceat((tag & 1).astype(np.int64), pair)
-            d = discounts(np.bincount(np.minimum(r, K + 2), minlength=K + 3)[: K + 2])
-            dr = r * np.where(r <= K, d[np.minimum(r, K)], 1.0)
-            p1 = lm.value.p(cw[pair])
-            first_pair = np.flatnonzero(new_h[pair])
-            kept = np.add.reduceat(dr, first_pair)
-            back = np.add.reduceat(np.where(r > 0, p1, 0.0), first_pair)
-            c = ch[pair][first_pair].astype(np.float64)
-            big = c > hot
-            count = np.diff(np.append(first_pair, len(pair)))
-            # a history without any discounted pair sets one more token aside
-            full = (c > 0) & (kept >= c - 1e-9)
-            below = np.where(big | full, c + 1, np.maximum(c, 1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                alpha = np.where(c > 0, (below - kept) / below / np.maximum(1 - back, 1e-12), 1.0)
-                by_pair = np.where(r > 0, np.log10(dr) - np.repeat(np.log10(below), count), np.log10(p1) + np.repeat(np.where(big, 0.0, np.log10(alpha)), count))
-            token = np.repeat(by_pair, n_pair)
-            # sums for each chunk and document
-            key = (where.astype(np.int64) << 32) | (tag >> 1)
-            keys, at = np.unique(key, return_inverse=True)
-            value = np.bincount(at, weights=token, minlength=len(keys))
-            f, n = runs(keys >> 32)
-            out = [(1, -1, chunks[int(keys[i] >> 32)], pack((keys[i : i + m] & 0xFFFFFFFF).astype(np.uint32), value[i : i + m]), None, None) for i, m in zip(f, n)]
-            if big.any():  # of the split histories: sums for alpha, and which documents wait for it
-                hot_h = h[pair][first_pair]
-                out += [(3, b, -1, np.array([hot_h[i]], np.uint64).tobytes(), np.array([c[i], kept[i], back[i]]).tobytes(), None) for i in np.flatnonzero(big)]
-                waits = np.repeat(np.repeat(big, count) & (r == 0), n_pair)
-                hh, kk = h[waits], key[waits]
-                o = np.lexsort((hh, kk))
-                hh, kk = hh[o], kk[o]
-                if len(kk):
-                    f = np.flatnonzero(np.concatenate(([True], (kk[1:] != kk[:-1]) | (hh[1:] != hh[:-1]))))
-                    n_wait = np.diff(np.append(f, len(kk)))
-                    kk, hh = kk[f], hh[f]
-                    f, n = runs(kk >> 32)
-                    out += [(2, -1, chunks[int(kk[i] >> 32)], pack((kk[i : i + m] & 0xFFFFFFFF).astype(np.uint32), hh[i : i + m], n_wait[i : i + m].astype(np.uint32)), None, None) for i, m in zip(f, n)]
-            for lo in range(0, len(out), 64):
-                yield _batch(out[lo : lo + 64])
+            for part in range(PARTS):  # a part of the histories at a time
+                out = _part(b, rows, part, hot, lm.value)
+                for lo in range(0, len(out), 64):
+                    yield _batch(out[lo : lo + 64])
 
     return each
 
@@ -246,7 +280,7 @@ def _documents(alphas):
             score = np.zeros(len(ids))
             for r in sorted((r for r in rows if r["kind"] != 0), key=lambda r: (r["kind"], r["x"])):
                 if r["kind"] == 1:
-                    at, value = unpack(r["x"], np.uint32, np.float64)
+                    at, value = unpack(r["x"], np.uint32, np.float32)
                     score[at] += value
                 else:
                     at, h, n = unpack(r["x"], np.uint32, np.uint64, np.uint32)
@@ -273,9 +307,11 @@ def katz_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     hot = max(1000, int(total[K + 2]) // (4 * n))
     release(spark)
 
-    met = dealt(chunks.filter("kind = 0").unionByName(answers.filter("kind = 1")), n, "chunk")
+    asked = chunks.withColumn("y", F.when(F.col("kind") == 0, F.col("y")))
+    met = dealt(asked.unionByName(answers.filter("kind = 4")), n, "chunk")
     entries = met.mapInArrow(_pair_rows(n, hot, lm, int(size["train"] or 0)), ROW)
     parts = written(dealt(entries, n).mapInArrow(_scores(hot, lm), ROW), "scores")
+    drop(chunks, answers)
     sums: dict[int, np.ndarray] = {}
     for r in parts.filter("kind = 3").select("x", "y").collect():  # at most four a partition, from each partition
         h, v = int(np.frombuffer(r["x"], np.uint64)[0]), np.frombuffer(r["y"])
