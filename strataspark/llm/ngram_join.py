@@ -8,13 +8,15 @@
    partitions by element.  Nodes that share one are candidates if the length
    and the positional filter let them pass.
 4. Runs of few nodes give all their pairs.  In a longer run, a group of near
-   copies as a rule, each node is first paired with its neighbour by size and
-   with the run's middle; after those are verified and joined into components,
-   every pair of the run whose nodes are still in different components follows.
+   copies as a rule, each node is first paired with one or two of the run's
+   first nodes in the order of a hash; after those are verified and joined into
+   components, two, then sixteen, then all pairs follow for each node of the run
+   with nodes that are still in other components.
    So no link between different components is lost, and a group of copies costs
    a few pairs a node, not all pairs.
-5. Each candidate pair is verified once, on whole sets, after the suffix filter
-   (element counts by hash range bound the difference from below).
+5. Each candidate pair is verified once, on whole sets, if a parity map of two
+   bits an element and the suffix filter (element counts by hash range) allow a
+   link: both bound the sets' difference from below.
 
 Thresholds are exact: two sets link when 100 * common >= percent * union.
 
@@ -32,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_of, count_blocks, dealt, id_filter, may_hold, mix, pack, prepare, release, runs, spread, text_column, unpack, written
+from .common import buckets_of, count_blocks, dealt, drop, id_filter, may_hold, mix, pack, prepare, release, runs, spread, text_column, unpack, written
 from .components import components
 from .textops import Words, powers, slices
 
 SLOT_BITS = 20
 CLASS_BITS = 6
 SMALL_RUN = 8
+#: Members of a long run that the others are tried with first, and how many pairs of these each member takes.
+HUBS, HUB_PAIRS = 4, 2
 BUCKET_ENTRIES = 1 << 20
 LEAST_BUCKETS = 64
 #: A run's nodes in one task at most; beyond, the run is split by node and tied together by every SPLIT / 64-th node.
@@ -111,6 +115,21 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def parity(x: np.ndarray) -> bytes:
+    """Parity of the elements in 2n slots or more, a power of two: its bits that differ bound a symmetric difference from below."""
+    size = max(256, 1 << (2 * len(x) - 1).bit_length()) if len(x) else 256
+    return np.packbits(np.bincount((mix(x) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def may_link(x: bytes, y: bytes, na: int, nb: int, percent: int) -> bool:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) <= na + nb - 2 * int(needed(np.int64(na), np.int64(nb), percent))
+
+
 def _node(x: np.ndarray) -> int:
     """64-bit digest of a set."""
     if not len(x):
@@ -123,11 +142,6 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _owner(node: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """One number for (node, document): who brings a node's set."""
-    return (mix(node.astype(np.int64).view(np.uint64)) ^ mix(doc.astype(np.int64).view(np.uint64) + np.uint64(77))).view(np.int64)
-
-
 def _pairs(n: np.ndarray, pos: np.ndarray, node: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of a run that pass the filters, in blocks. Sorted by n."""
     out_a, out_b = [], []
@@ -172,24 +186,28 @@ def _first_round(percent: int, parts):
                 continue
             keep = order[np.repeat(start, length) + spread(length)]
             token, node, n, pos = token[keep], node[keep], n[keep], pos[keep]
-            order = np.lexsort((node, n, token))
+            order = np.lexsort((mix(node.view(np.uint64)), token))
             token, node, n, pos = token[order], node[order], n[order], pos[order]
             start = np.cumsum(length) - length
             out_a, out_b = [], []
-            for gap in range(1, SMALL_RUN):  # all pairs of short runs, neighbours in long ones
-                of = np.repeat(length, length)
-                place = spread(length)
-                i = np.flatnonzero((place + gap < of) & ((of <= SMALL_RUN) | (gap == 1)))
+            place, of = spread(length), np.repeat(length, length)
+            for gap in range(1, SMALL_RUN):  # all pairs of short runs
+                i = np.flatnonzero((place + gap < of) & (of <= SMALL_RUN))
                 ok = passes(n[i], pos[i], n[i + gap], pos[i + gap], percent)
                 out_a.append(node[i[ok]])
                 out_b.append(node[i[ok] + gap])
             long = (length > SMALL_RUN) | split
             if long.any():
+                # members in order of a hash: the first ones are the same in many runs, so few different pairs arise
                 i = np.repeat(start[long], length[long]) + spread(length[long])
-                hub = np.repeat(start[long] + length[long] // 2, length[long])
-                ok = (i != hub) & passes(n[i], pos[i], n[hub], pos[hub], percent)
-                out_a.append(node[i[ok]])
-                out_b.append(node[hub[ok]])
+                head, size = np.repeat(start[long], length[long]), np.repeat(length[long], length[long])
+                left = np.full(len(i), HUB_PAIRS)
+                for h in range(HUBS):
+                    hub = np.minimum(head + h, head + size - 1)
+                    ok = (left > 0) & (i > hub) & (h < size) & passes(n[i], pos[i], n[hub], pos[hub], percent)
+                    out_a.append(node[i[ok]])
+                    out_b.append(node[hub[ok]])
+                    left[ok] -= 1
                 for lo in range(0, len(i), 1 << 16):
                     j = i[lo : lo + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(j), np.int32)), pa.array(node[j]), pa.nulls(len(j), pa.int64()), pa.array(token[j].view(np.int64)), pa.array(n[j].astype(np.int32)), pa.array(pos[j].astype(np.int32))], ["kind", "a", "b", "token", "n", "pos"])
@@ -198,8 +216,8 @@ def _first_round(percent: int, parts):
     return each
 
 
-def _second_round(percent: int):
-    """Rows of long runs sorted by token, with components -> the pairs between components."""
+def _second_round(percent: int, most: int | None):
+    """Rows of long runs sorted by token, with components -> the pairs between components, or for each member ``most`` of them."""
 
     def flush(parts):
         node, n, pos, root = (np.concatenate(x) for x in zip(*parts))
@@ -209,7 +227,15 @@ def _second_round(percent: int):
         node, n, pos, root = node[order], n[order].astype(np.int64), pos[order].astype(np.int64), root[order]
         a, b = _pairs(n, pos, np.arange(len(node)), percent)
         apart = root[a] != root[b]
-        yield from _pair_batch(node[a[apart]], node[b[apart]])
+        a, b = a[apart], b[apart]
+        if most is not None and len(a):
+            a, b = np.concatenate((a, b)), np.concatenate((b, a))
+            order = np.lexsort((mix((node[a] ^ node[b]).view(np.uint64)), a))
+            a, b = a[order], b[order]
+            _, m = runs(a)
+            keep = spread(m) < most
+            a, b = a[keep], b[keep]
+        yield from _pair_batch(node[a], node[b])
 
     def each(batches):
         now, parts = None, []
@@ -255,10 +281,11 @@ class NgramJoin:
         counts = counts if len(counts) else np.zeros(1 << SLOT_BITS, np.int64)
         self.classes = self.spark.sparkContext.broadcast(rarity_classes(counts))
         self.parts = self.spark.sparkContext.broadcast(np.minimum(-(-counts // SPLIT), 1 << 20).astype(np.uint32))
-        self.sets = written(self.docs.mapInArrow(self._sets(), "doc_id long, n long, node long, prefix binary"), "sets")
-        self.members = self.sets.select("doc_id", "n", "node")
-        nodes = self.sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min_by("prefix", F.struct("n", "doc_id")).alias("prefix"))
+        self.sets = written(self.docs.mapInArrow(self._sets(), "doc_id long, n long, node long, prefix binary, parity binary"), "sets")
+        self.members = written(self.sets.select("doc_id", "n", "node"), "members")
+        nodes = self.sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
         self.nodes = written(nodes, "nodes")
+        drop(self.sets)
         release(self.spark)
 
     def _sets(self):
@@ -266,13 +293,14 @@ class NgramJoin:
 
         def each(batches):
             for batch in slices(batches):
-                n, node, prefix = [], [], []
+                n, node, prefix, sign = [], [], [], []
                 for x in shingle_sets(batch.column(1), k):
                     x = ranked(x, classes.value)
                     n.append(len(x))
                     node.append(_node(x))
                     prefix.append(x[: prefix_length(len(x), percent)].tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "n", "node", "prefix"])
+                    sign.append(parity(x))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.binary()), pa.array(sign, pa.binary())], ["doc_id", "n", "node", "prefix", "parity"])
 
         return each
 
@@ -306,7 +334,7 @@ class NgramJoin:
         return each
 
     def _fetch(self, wanted: np.ndarray) -> DataFrame:
-        """(node, set) of the nodes whose owner is in the filter."""
+        """(node, elements) of the documents in the filter."""
         k, classes = self.k, self.classes
         field = self.spark.sparkContext.broadcast(wanted)
 
@@ -317,18 +345,47 @@ class NgramJoin:
                 if not len(keep):
                     continue
                 part = batch.take(pa.array(keep))
-                sets = [ranked(x, classes.value) for x in shingle_sets(part.column(0), k)]
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array([_node(x) for x in sets], pa.int64()), pa.array([np.sort(x << np.uint64(CLASS_BITS) | x >> np.uint64(64 - CLASS_BITS)).tobytes() for x in sets], pa.binary())], ["doc_id", "node", "elements"])
+                sets = {_node(x): x for x in (ranked(x, classes.value) for x in shingle_sets(part.column(0), k)) if len(x)}
+                # back to hash order, in which the suffix filter's ranges are even
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([np.sort(x << np.uint64(CLASS_BITS) | x >> np.uint64(64 - CLASS_BITS)).tobytes() for x in sets.values()], pa.binary())], ["node", "elements"])
+
+        return self.docs.select("text", "doc_id").mapInArrow(each, "node long, elements binary")
 
-        return self.docs.select("text", "doc_id").mapInArrow(each, "doc_id long, node long, elements binary")
+    def _possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose parity maps allow a link, with all their columns."""
+        percent, names = self.percent, pairs.columns
+        end = lambda k: self.nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"p_{k}")).hint("merge")
+        met = pairs.hint("merge").join(end("a"), "a").hint("merge").join(end("b"), "b").select(*names, "n_a", "n_b", "p_a", "p_b")
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
+        def each(batches):
+            for batch in batches:
+                k = batch.num_columns - 4
+                na, nb, x, y = (c.to_pylist() for c in batch.columns[k:])
+                keep = pa.array([may_link(*v, percent) for v in zip(x, y, na, nb)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:k]], names)
+
+        return written(met.mapInArrow(each, pairs.schema), "possible")
+
+    def _sets_of(self, pairs: DataFrame) -> DataFrame:
+        """(node, elements) of the ends of the pairs."""
+        ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.nodes.select("node", "doc_id"), "node"), "ends")
+        # the filter lets a few sets more pass, which no pair asks for; rows that repeat under one doc_id are thinned out
+        sets = written(self._fetch(id_filter(ends, "doc_id")), "elements")
+        if sets.count() > 1.1 * ends.count() + 1000:
+            sets = written(sets.dropDuplicates(["node"]), "elements")
+        drop(ends)
+        return sets
+
+    def _verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The linked ones of the distinct pairs (a, b)."""
         percent = self.percent
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.nodes.select("node", "doc_id"), "node")
-        ends = written(ends, "ends")
-        sets = self._fetch(id_filter(ends, "doc_id")).join(ends, ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "elements")
-        sets = written(sets, "elements")
+        field = self.spark.sparkContext.broadcast(id_filter(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
+
+        def needed_here(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(may_hold(field.value, batch.column(0).to_numpy())))
+
+        sets = sets.mapInArrow(needed_here, "node long, elements binary")
         left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
         right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
 
@@ -339,29 +396,81 @@ class NgramJoin:
                 keep = pa.array(ok, pa.bool_())
                 yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
-        met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return written(met.mapInArrow(each, "a long, b long"), "links")
+        # a sort-merge join at any size: sets are never broadcast
+        met = pairs.select("a", "b").hint("merge").join(left.hint("merge"), "a").hint("merge").join(right.hint("merge"), "b").select("a", "b", "x", "y")
+        found = written(met.mapInArrow(each, "a long, b long"), "links")
+        release(self.spark)
+        return found
+
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """Verified links (a, b) between nodes, enough to connect all that are linked, and their components (node, root).
 
-    def links(self) -> tuple[DataFrame, DataFrame | None]:
-        """Verified links (a, b) between nodes, enough to connect all that are linked, and their components (node, root)."""
+        Candidates are verified in three steps: each node's best partner (that
+        it met in most runs), the best of those that are left between
+        components, and all that are then left between components.
+        """
         total = self.nodes.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
         n = max(LEAST_BUCKETS, math.ceil(total / BUCKET_ENTRIES))
         entries = self.nodes.select("node", "n", "prefix").mapInArrow(self._entries(n), "b int, blob binary")
         found = written(dealt(entries, n).mapInArrow(_first_round(self.percent, self.parts), CANDIDATES), "candidates")
         release(self.spark)
-        pairs = written(found.filter("kind = 0").select("a", "b").distinct(), "pairs")
-        links = self._verify(pairs)
-        roots = components(links)
+        pairs = written(found.filter("kind = 0").groupBy("a", "b").agg(F.count("*").alias("w")), "pairs")
+        release(self.spark)
+        left = self._possible(pairs)
+        sets = self._sets_of(left)
+        release(self.spark)
+
+        links = roots = None
+        for step in range(3):
+            if roots is not None:
+                left = written(_between(left, roots), "left")
+            chosen = left
+            if step < 2:
+                both = left.select(F.col("a").alias("node"), F.struct("w", F.xxhash64("a", "b").alias("h"), "a", "b").alias("p")).unionByName(left.select(F.col("b").alias("node"), F.struct("w", F.xxhash64("a", "b").alias("h"), "a", "b").alias("p")))
+                chosen = written(both.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct(), "chosen")
+            if step and chosen.isEmpty():
+                break
+            new = self._verify(chosen, sets)
+            links = new if links is None else links.unionByName(new)
+            drop(roots)
+            roots = components(links)
+            left = left.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
         long = found.filter("kind = 1").select("token", F.col("a").alias("node"), "n", "pos").distinct()
-        labelled = long.join(roots, "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-        open_runs = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
-        rest = written(labelled.join(open_runs, "token"), "open")
-        if rest.isEmpty():
-            return links, roots
-        more = rest.select("token", "node", "n", "pos", "root").repartition("token").sortWithinPartitions("token").mapInArrow(_second_round(self.percent), CANDIDATES)
-        more = written(more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(self._verify(more))
-        return links, components(links)
+        long = written(long, "long")
+        drop(found, sets)
+        done = pairs
+        for most in (2, 16, None):
+            labelled = long.join(roots, "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+            open_runs = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
+            rest = written(labelled.join(open_runs, "token"), "open")
+            if rest.isEmpty():
+                break
+            more = rest.select("token", "node", "n", "pos", "root").repartition("token").sortWithinPartitions("token").mapInArrow(_second_round(self.percent, most), CANDIDATES)
+            more = written(more.select("a", "b").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            drop(rest)
+            if more.isEmpty():
+                continue
+            possible = self._possible(more)
+            if possible.isEmpty():
+                done = done.select("a", "b").unionByName(more)
+                continue
+            sets = self._sets_of(possible)
+            new = self._verify(possible, sets)
+            drop(sets, possible)
+            done = done.select("a", "b").unionByName(more)
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                drop(roots)
+                roots = components(links)
+        drop(long)
+        return links, roots
+
+
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    return pairs.filter("root_a != root_b").select("a", "b", "w")
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -370,6 +479,8 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     _, roots = join.links()
     top = join.nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = top.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_node = top.join(least, "root").select("node", "component_id")
+    # the small tables are all that the result rests on
+    by_node = written(top.join(least, "root").select("node", "component_id"), "components")
+    drop(join.nodes)
     rows = join.members.join(by_node, "node", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
