@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 WIDTH, LEAST_WORDS, SHARE, LITERALS = 8, 5, 0.25, 0.6
 BROADCAST_WINDOWS, BROADCAST_DOCS = 200_000, 500_000
@@ -93,4 +93,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, share:
         verdict = slot.groupBy("doc_id", "item_id", "at").agg(F.max("n").alias("most"), F.count("*").cast("int").alias("n_slots")).filter("most = 1")
         bare = bare.unionByName(pairs.join(verdict, ["doc_id", "item_id", "at"]).select("doc_id", "item_id", "pos", "item_pos", "n_windows", "n_slots"))
     out = bare.groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("n_matched"), F.max("n_windows").cast("long").alias("n_windows"), F.max("n_slots").cast("long").alias("n_slots"), (F.min("pos") - 1).cast("long").alias("first_word"))
-    return out.filter(F.col("n_matched") >= share * F.col("n_windows"))
+    out = written(out.filter(F.col("n_matched") >= share * F.col("n_windows")), "found")
+    drop(found, matched)
+    return out

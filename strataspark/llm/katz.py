@@ -185,7 +185,7 @@ def _looked_up(parts: list[tuple[np.ndarray, np.ndarray]], keys: np.ndarray) ->
     return value[np.searchsorted(key, keys)]
 
 
-def _part(b: int, rows: list[dict], part: int, hot: int, u: Unigrams) -> list[tuple]:
+def _part(b: int, rows: list[dict], part: int, parts: int, hot: int, u: Unigrams) -> list[tuple]:
     """Counts, discounts, backoff weights and partial scores of one part of a partition's histories."""
     hs, ws, tags, where, h_dict, w_dict = [], [], [], [], [], []
     chunks = [r["chunk"] for r in rows]
@@ -194,7 +194,7 @@ def _part(b: int, rows: list[dict], part: int, hot: int, u: Unigrams) -> list[tu
         w, low, cw = unpack(r["y"], np.uint32, np.uint8, np.uint64)
         w = (w.astype(np.uint64) << np.uint64(8)) | low
         wi, tag = unpack(r["z"], np.uint32, np.uint32)
-        mine = (h >> np.uint64(5)) % np.uint64(PARTS) == part
+        mine = (h >> np.uint64(5)) % np.uint64(parts) == part
         each = np.repeat(mine, n)
         hs.append(np.repeat(h[mine], n[mine]))
         ws.append(w[wi[each]])
@@ -255,15 +255,15 @@ def _part(b: int, rows: list[dict], part: int, hot: int, u: Unigrams) -> list[tu
     return out
 
 
-def _scores(hot: int, lm):
+def _scores(hot: int, lm, parts: int):
     def each(batches):
         for b, rows in buckets_of(batches):
             if b < 0:
                 for r in rows:
                     yield _batch([(0, -1, r["chunk"], r["x"], r["y"], None)])
                 continue
-            for part in range(PARTS):  # a part of the histories at a time
-                out = _part(b, rows, part, hot, lm.value)
+            for part in range(parts):  # a part of the histories at a time
+                out = _part(b, rows, part, parts, hot, lm.value)
                 for lo in range(0, len(out), 64):
                     yield _batch(out[lo : lo + 64])
 
@@ -290,14 +290,14 @@ def _documents(alphas):
     return each
 
 
-def katz_scores(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Score every text; learn from the rows where ``held_out`` is not true. Adds train_tokens, n_tokens, n_known, base_score and score (log10)."""
+def katz_scores(docs: DataFrame, held_out: Column, least_partitions: int = LEAST_PARTITIONS, parts: int = PARTS) -> DataFrame:
+    """Score every text; learn from the rows where ``held_out`` is not true. Gives doc_id, held_out, train_tokens, n_tokens, n_known, base_score and score (log10)."""
     spark = docs.sparkSession
     prepare(spark)
     held = F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held).alias("train"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 6).alias("bytes"), F.count_if("train").alias("train")).first()
-    n = max(LEAST_PARTITIONS, math.ceil((size["bytes"] or 0) / 6 / PARTITION_TOKENS))
+    n = max(least_partitions, math.ceil((size["bytes"] or 0) / 6 / PARTITION_TOKENS))
 
     chunks = written(rows.mapInArrow(_chunk_rows(n), ROW), "chunks")
     answers = written(dealt(chunks.filter("kind = 1"), n).mapInArrow(_answers, ROW), "words")
@@ -310,7 +310,7 @@ def katz_scores(docs: DataFrame, held_out: Column) -> DataFrame:
     asked = chunks.withColumn("y", F.when(F.col("kind") == 0, F.col("y")))
     met = dealt(asked.unionByName(answers.filter("kind = 4")), n, "chunk")
     entries = met.mapInArrow(_pair_rows(n, hot, lm, int(size["train"] or 0)), ROW)
-    parts = written(dealt(entries, n).mapInArrow(_scores(hot, lm), ROW), "scores")
+    parts = written(dealt(entries, n).mapInArrow(_scores(hot, lm, parts), ROW), "scores")
     drop(chunks, answers)
     sums: dict[int, np.ndarray] = {}
     for r in parts.filter("kind = 3").select("x", "y").collect():  # at most four a partition, from each partition

@@ -7,7 +7,7 @@ least ``percent`` / 100; lines are judged on the input, not on what is left.
 1. Word rarity from counts in a fixed number of slots over all texts; elements
    carry their rarity class on top, so sorted sets are rare-first.
 2. Slices send each distinct set's first occurrence once: its prefix elements,
-   with size, place, a 64-bit parity map and the occurrence, to partitions by
+   with size, place, a parity map of 64 or 128 bits and the occurrence, to partitions by
    element; and the occurrence to partitions by set.  Later occurrences of a
    set within a slice are settled there, so a line in very many documents costs
    one row a slice.
@@ -18,12 +18,10 @@ least ``percent`` / 100; lines are judged on the input, not on what is left.
    are tried first, so a group of near copies costs a few pairs a member.
 4. Pairs are verified on whole sets.  Sets that the reserve leaves open get all
    their candidates in a last exact pass.
-5. Documents that lose lines (a fixed-size filter finds them) are shuffled to
-   meet their line numbers; all others pass through.
+5. Documents meet their removed line numbers in a join on doc_id.
 
 Defined cases: lines without words are never removed; null texts stay null;
-repeated rows with one doc_id share their lines' places, so equal rows keep
-one another; a null doc_id comes before all others; extra columns are carried.
+rows that share a doc_id share their lines' places, so such equal rows stay alike; a null doc_id comes before all others; extra columns are carried.
 """
 
 from __future__ import annotations
@@ -35,12 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_of, count_blocks, dealt, id_filter, may_hold, mix, pack, prepare, release, runs, spread, unpack, written
-from .textops import Words, raw, slices
+from .common import buckets_of, count_blocks, dealt, drop, id_filter, may_hold, mix, pack, prepare, release, runs, spread, unpack, written
+from .textops import Words, slices
 
 SLOT_BITS, CLASS_BITS, TOKEN_BITS = 20, 5, 47
 LEAST_BUCKETS, BUCKET_BYTES = 64, 6 << 20
-FIRST, RESERVE, HUBS, LONG = 2, 16, 32, 512
+#: Sets of more words have a parity map of 128 bits, smaller ones of 64.
+WIDE = 40
+FIRST, RESERVE, HUBS, SETTLED, LONG, SHORT = 2, 24, 32, 16, 64, 16
+#: Pairs that are compared at once.
+BLOCK_PAIRS = 1 << 18
+BROADCAST_DOCS = 200_000
 NULL_DOC = -(1 << 63)
 
 
@@ -76,9 +79,12 @@ class Lines:
         spread_out = mix(token)
         if len(self.first):
             self.node = mix(np.add.reduceat(spread_out, self.first) + self.size.astype(np.uint64)).view(np.int64)
-            self.bits = np.bitwise_xor.reduceat(np.uint64(1) << (spread_out >> np.uint64(58)), self.first)
+            bit, high = np.uint64(1) << (spread_out >> np.uint64(58)), (spread_out >> np.uint64(57)) & np.uint64(1)
+            wide = np.repeat(self.size > WIDE, self.size)
+            upper = np.where(wide & (high == 1), bit, np.uint64(0))
+            self.low, self.high = np.bitwise_xor.reduceat(bit ^ upper, self.first), np.bitwise_xor.reduceat(upper, self.first)
         else:
-            self.node, self.bits = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            self.node, self.low, self.high = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -93,7 +99,7 @@ def needed(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-ENTRY = (np.uint64, np.int64, np.uint32, np.uint32, np.uint64, np.int64, np.uint32)
+ENTRY = (np.uint64, np.int64, np.uint32, np.uint32, np.uint64, np.uint64, np.int64, np.uint32)
 OUT = "kind int, doc long, line int, other_doc long, other_line int, more binary"
 
 
@@ -107,17 +113,17 @@ def _slice_rows(classes, percent: int, n_buckets: int, only=None):
     """Entries by element and occurrences by set; with ``only``, just entries whose element it may hold."""
 
     def blobs(batches):
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 3 << 20):
             parts, base = [], []
             for piece in slices(iter([batch])):
                 x = Lines(piece.column(1), classes.value)
                 if len(x.node):
                     doc = _ids(piece.column(0))[x.doc]
-                    parts.append((x.node, doc, x.number, x.size, x.bits, x))
+                    parts.append((x.node, doc, x.number, x.size, x.low, x.high, x))
                     base.append(len(x.node))
             if not parts:
                 continue
-            node, doc, line, size, bits = (np.concatenate(c) for c in zip(*[p[:5] for p in parts]))
+            node, doc, line, size, low, high = (np.concatenate(c) for c in zip(*[p[:6] for p in parts]))
             order = np.lexsort((line, doc, node))
             s, m = runs(node[order])
             firsts = order[s]
@@ -139,7 +145,7 @@ def _slice_rows(classes, percent: int, n_buckets: int, only=None):
             is_first[firsts] = True
             columns, offset = [], 0
             for p, n in zip(parts, base):
-                x = p[5]
+                x = p[6]
                 mine = np.flatnonzero(is_first[offset : offset + n])
                 length = x.size[mine] - -(-percent * x.size[mine] // 100) + 1
                 pos = spread(length)
@@ -157,39 +163,49 @@ def _slice_rows(classes, percent: int, n_buckets: int, only=None):
                 j = o[a : a + k]
                 i = of[j]
                 b.append(int(spot[j[0]]))
-                blob.append(pack(token[j], node[i], size[i].astype(np.uint32), pos[j].astype(np.uint32), bits[i], doc[i], line[i].astype(np.uint32)))
+                blob.append(pack(token[j], node[i], size[i].astype(np.uint32), pos[j].astype(np.uint32), low[i], high[i], doc[i], line[i].astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(blob, pa.binary())], ["b", "blob"])
 
     return blobs
 
 
 def _passing(n, pos, bits, a, b, percent: int) -> np.ndarray:
+    """Length, positional and parity filter. bits: (size, 2), low and high words; a narrow map is the fold of a wide one."""
     na, nb = n[a], n[b]
     need = needed(na, nb, percent)
     small, large = np.minimum(na, nb), np.maximum(na, nb)
     ok = (100 * small >= percent * large) & (1 + np.minimum(na - pos[a] - 1, nb - pos[b] - 1) >= need)
     i = np.flatnonzero(ok)
-    ok[i] = np.bitwise_count(bits[a[i]] ^ bits[b[i]]) <= (na[i] + nb[i] - 2 * need[i])
+    most = na[i] + nb[i] - 2 * need[i]
+    # sets of a run differ: by one element at least, by two if they are of one size
+    i, most = i[most >= 2 - (na[i] + nb[i]) % 2], most[most >= 2 - (na[i] + nb[i]) % 2]
+    x = bits[a[i]] ^ bits[b[i]]
+    both = np.minimum(na[i], nb[i]) > WIDE
+    apart = np.where(both, np.bitwise_count(x).sum(1), np.bitwise_count(x[:, 0] ^ x[:, 1]))
+    ok[:] = False
+    ok[i[apart <= most]] = True
     return ok
 
 
-def _earlier(n, pos, bits, percent: int, everything: bool):
-    """For a run in order of time: (later, earlier) pairs that pass, ascending by both; members settled by the run's first ones keep those only."""
+def _earlier(n, pos, bits, percent: int, everything: bool, hubs: int, enough: int, long: int):
+    """For a run in order of time: (later, earlier) pairs that pass, ascending by both, and the members that have enough with the run's first ones, so the rest wasn't tried."""
     m = len(n)
+    settled = np.zeros(0, np.int64)
     found_a, found_b = [], []
     todo = np.arange(1, m)
-    if m > LONG and not everything:
+    if m > long and not everything:
         hits = np.zeros(m, np.int64)
-        for hub in range(HUBS):
+        for hub in range(hubs):
             i = todo[todo > hub]
             ok = _passing(n, pos, bits, i, np.full(len(i), hub), percent)
             found_a.append(i[ok])
             found_b.append(np.full(int(ok.sum()), hub))
             hits[i[ok]] += 1
-        todo = todo[hits[todo] < RESERVE]
-    seen = HUBS if m > LONG and not everything else 0
-    for lo in range(0, len(todo), max(1, (1 << 20) // m)):
-        i = todo[lo : lo + max(1, (1 << 20) // m)]
+        settled = np.flatnonzero(hits >= enough)
+        todo = todo[hits[todo] < enough]
+    seen = hubs if m > long and not everything else 0
+    for lo in range(0, len(todo), max(1, BLOCK_PAIRS // m)):
+        i = todo[lo : lo + max(1, BLOCK_PAIRS // m)]
         j = np.arange(seen, m)
         a, b = np.repeat(i, len(j)), np.tile(j, len(i))
         keep = b < a
@@ -199,7 +215,7 @@ def _earlier(n, pos, bits, percent: int, everything: bool):
         found_b.append(b[ok])
     a, b = np.concatenate(found_a), np.concatenate(found_b)
     order = np.lexsort((b, a))
-    return a[order], b[order]
+    return a[order], b[order], settled
 
 
 def _matches(percent: int, n_buckets: int, wanted=None):
@@ -219,7 +235,8 @@ def _matches(percent: int, n_buckets: int, wanted=None):
                 late[s] = False
                 yield _out(2, doc[order[late]], line[order[late]])
                 continue
-            token, node, n, pos, bits, doc, line = (np.concatenate(c) for c in zip(*[unpack(r["blob"], *ENTRY) for r in rows]))
+            token, node, n, pos, low, high, doc, line = (np.concatenate(c) for c in zip(*[unpack(r["blob"], *ENTRY) for r in rows]))
+            bits = np.stack([low, high], 1)
             order = np.argsort(token, kind="stable")
             s, m = runs(token[order])
             several = m > 1
@@ -235,20 +252,22 @@ def _matches(percent: int, n_buckets: int, wanted=None):
             keep = keep[np.lexsort((time[keep], token[keep]))]
             token, n, pos, bits, doc, line = token[keep], n[keep].astype(np.int64), pos[keep].astype(np.int64), bits[keep], doc[keep], line[keep]
             s, m = runs(token)
-            out_a, out_b = [], []
-            short = m <= 8
+            out_a, out_b, over = [], [], [np.zeros(0, np.int64)]
+            short = m <= SHORT
             if short.any():  # all short runs at once
+                i = np.repeat(s[short], m[short]) + spread(m[short])
+                end = np.repeat(s[short] + m[short], m[short])
                 for gap in range(1, int(m[short].max())):
-                    i = np.repeat(s[short], m[short]) + spread(m[short])
-                    end = np.repeat(s[short] + m[short], m[short])
-                    i = i[i + gap < end]
+                    more = i + gap < end
+                    i, end = i[more], end[more]
                     ok = _passing(n, pos, bits, i + gap, i, percent)
                     out_a.append(i[ok] + gap)
                     out_b.append(i[ok])
             for a, k in zip(s[~short], m[~short]):
-                x, y = _earlier(n[a : a + k], pos[a : a + k], bits[a : a + k], percent, wanted is not None)
+                x, y, settled = _earlier(n[a : a + k], pos[a : a + k], bits[a : a + k], percent, wanted is not None, HUBS, SETTLED, LONG)
                 out_a.append(x + a)
                 out_b.append(y + a)
+                over.append(settled + a)
             a, b = (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64),) * 2
             if wanted is not None:
                 ok = may_hold(wanted.value, _place(doc[a], line[a]))
@@ -265,7 +284,7 @@ def _matches(percent: int, n_buckets: int, wanted=None):
                 x, y = a[later], b[later]
                 f, c = runs(x)
                 yield _out(1, doc[x[f]], line[x[f]], more=[pack(doc[y[i : i + j]], line[y[i : i + j]]) for i, j in zip(f, c)])
-            over = a[first[k > RESERVE]]
+            over = np.concatenate([a[first[k > RESERVE]], *over])
             if len(over):
                 yield _out(3, doc[over], line[over])
 
@@ -293,6 +312,9 @@ class LineJoin:
         percent, classes = self.percent, self.classes
         ends = written(pairs.select("doc", "line").union(pairs.select("other_doc", "other_line")).distinct(), "ends")
         by_doc = self.spark.sparkContext.broadcast(id_filter(ends, "doc"))
+        texts, few = self.docs, ends.select(F.col("doc").alias("doc_id")).distinct().limit(BROADCAST_DOCS + 1)
+        if ends.agg(F.approx_count_distinct("doc")).first()[0] < BROADCAST_DOCS // 2 and few.count() <= BROADCAST_DOCS:
+            texts = texts.join(F.broadcast(few), F.coalesce(texts["doc_id"], F.lit(NULL_DOC)) == few["doc_id"], "left_semi")
 
         def places(batches):
             for batch in batches:
@@ -311,7 +333,7 @@ class LineJoin:
                 i = np.flatnonzero(may_hold(by_place.value, _place(doc, x.number)))
                 yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(x.number[i].astype(np.int32)), pa.array([x.tokens[x.first[k] : x.first[k] + x.size[k]].tobytes() for k in i], pa.binary())], ["doc", "line", "elements"])
 
-        sets = self.docs.mapInArrow(fetch, "doc long, line int, elements binary").join(ends, ["doc", "line"], "left_semi")
+        sets = texts.mapInArrow(fetch, "doc long, line int, elements binary").join(ends, ["doc", "line"], "left_semi")
         sets = written(sets, "lines")
         left = sets.withColumnRenamed("elements", "x")
         right = sets.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("elements").alias("y"))
@@ -326,8 +348,10 @@ class LineJoin:
                 keep = pa.array(ok, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["doc", "line"])
 
-        met = pairs.join(left, ["doc", "line"]).join(right, ["other_doc", "other_line"]).select("doc", "line", "x", "y")
-        return written(met.mapInArrow(check, "doc long, line int").distinct(), "matched")
+        met = pairs.hint("merge").join(left.hint("merge"), ["doc", "line"]).hint("merge").join(right.hint("merge"), ["other_doc", "other_line"]).select("doc", "line", "x", "y")
+        found = written(met.mapInArrow(check, "doc long, line int").distinct(), "matched")
+        drop(sets, ends, pairs)
+        return found
 
     def removed(self) -> DataFrame:
         """(doc, line) of every line that an earlier one matches; null doc_ids as the smallest long."""
@@ -351,7 +375,7 @@ class LineJoin:
         rest = written(found.filter("kind = 3").select(key).distinct().join(gone, key, "left_anti"), "rest")
         if not rest.isEmpty():
             gone = gone.unionByName(self._verified(self._all_of(rest)))
-        return found.filter("kind = 2").select(key).unionByName(gone).distinct()
+        return found.filter("kind = 2").select(key).unionByName(gone)
 
     def _all_of(self, rest: DataFrame) -> DataFrame:
         """All candidates of the lines in ``rest``: the entries of their elements once more."""
@@ -379,54 +403,12 @@ class LineJoin:
 
 def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """All rows and columns of ``docs``, the text without removed lines, plus n_lines and n_removed (lines with words)."""
-    spark = docs.sparkSession
-    gone = written(LineJoin(docs, percent).removed(), "removed")
-    release(spark)
-    columns = docs.columns
-    packed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
-    i_id, i_text = columns.index("doc_id"), columns.index("text")
-    packed = packed.withColumn(f"c{i_id}", F.col(f"c{i_id}").cast("long")).withColumn(f"c{i_text}", F.col(f"c{i_text}").cast("string"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.schema.fields)
-    field = spark.sparkContext.broadcast(id_filter(gone, "doc"))
-
-    def counted(batch: pa.RecordBatch) -> np.ndarray:
-        w = Words(batch.column(i_text), hashed=False)
-        newline = np.concatenate(([0], np.cumsum(w.data == 10)))
-        fresh = np.ones(len(w.starts), bool)
-        fresh[1:] = (newline[w.starts[1:]] != newline[w.starts[:-1]]) | (w.doc[1:] != w.doc[:-1])
-        return np.bincount(w.doc[fresh], minlength=w.n)
-
-    def part(hit: bool):
-        def each(batches):
-            for batch in slices(batches, f"c{i_text}"):
-                keep = np.flatnonzero(may_hold(field.value, _ids(batch.column(i_id))) == hit)
-                if len(keep):
-                    x = batch.take(pa.array(keep))
-                    extra = [pa.array(counted(x), pa.int64())] + ([] if hit else [pa.array(np.zeros(len(keep), np.int64))])
-                    yield pa.RecordBatch.from_arrays([*x.columns, *extra], [*x.schema.names, "n_lines"] + ([] if hit else ["n_removed"]))
-
-        return each
-
-    untouched = packed.mapInArrow(part(False), f"{fields}, n_lines long, n_removed long")
-    some = packed.mapInArrow(part(True), f"{fields}, n_lines long")
-    lists = gone.groupBy(F.col("doc").alias("k")).agg(F.array_sort(F.collect_list("line")).alias("gone"))
-    met = some.join(lists, F.coalesce(F.col(f"c{i_id}"), F.lit(NULL_DOC)) == F.col("k"), "left")
-
-    def cut(batches):
-        for batch in slices(batches, f"c{i_text}"):
-            k = batch.num_columns - 1
-            texts = []
-            for text, lines in zip(batch.column(i_text).to_pylist(), batch.column(k).to_pylist()):
-                if lines and text is not None:
-                    drop = set(lines)
-                    text = "\n".join(x for j, x in enumerate(text.split("\n")) if j not in drop)
-                texts.append(text)
-            removed = pa.array([len(x or ()) for x in batch.column(k).to_pylist()], pa.int64())
-            cols = list(batch.columns[:k])
-            cols[i_text] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, removed], [*batch.schema.names[:k], "n_removed"])
-
-    shortened = met.drop("k").mapInArrow(cut, f"{fields}, n_lines long, n_removed long")
-    out = untouched.unionByName(shortened)
-    extra = [c for c in ("n_lines", "n_removed") if c not in columns]
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], *extra)
+    gone = LineJoin(docs, percent).removed()
+    lists = gone.groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_set("line")).alias("_gone"))
+    typed = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    rows = typed.join(lists, F.coalesce(typed["doc_id"], F.lit(NULL_DOC)) == F.col("_doc"), "left").withColumn("_lines", F.split("text", "\n"))
+    kept = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    n_lines = F.coalesce(F.size(F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long")
+    new = {"n_lines": n_lines, "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+    out = rows.withColumns({k: v for k, v in new.items() if k not in docs.columns} | {"text": F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)})
+    return out.select(*docs.columns, *[k for k in new if k not in docs.columns])
