@@ -7,7 +7,7 @@ least ``percent`` / 100; lines are judged on the input, not on what is left.
 1. Word rarity from counts in a fixed number of slots over all texts; elements
    carry their rarity class on top, so sorted sets are rare-first.
 2. Slices send each distinct set's first occurrence once: its prefix elements,
-   with size, place, a parity map of 64 or 128 bits and the occurrence, to partitions by
+   with size, place, a parity map of 64 to 256 bits and the occurrence, to partitions by
    element; and the occurrence to partitions by set.  Later occurrences of a
    set within a slice are settled there, so a line in very many documents costs
    one row a slice.
@@ -17,7 +17,8 @@ least ``percent`` / 100; lines are judged on the input, not on what is left.
    reserve for sets that these don't settle.  In long runs the earliest members
    are tried first, so a group of near copies costs a few pairs a member.
 4. Pairs are verified on whole sets.  Sets that the reserve leaves open get all
-   their candidates in a last exact pass.
+   their candidates in a last exact pass: a few of them meet all texts at once,
+   many get their entries dealt again.
 5. Documents meet their removed line numbers in a join on doc_id.
 
 Defined cases: lines without words are never removed; null texts stay null;
@@ -38,12 +39,12 @@ from .textops import Words, slices
 
 SLOT_BITS, CLASS_BITS, TOKEN_BITS = 20, 5, 47
 LEAST_BUCKETS, BUCKET_BYTES = 64, 6 << 20
-#: Sets of more words have a parity map of 128 bits, smaller ones of 64.
-WIDE = 40
-FIRST, RESERVE, HUBS, SETTLED, LONG, SHORT = 2, 24, 32, 16, 64, 16
+#: Sets of more words have parity maps of 128 and of 256 bits, smaller ones of 64.
+WIDE, VERY_WIDE = 40, 120
+FIRST, RESERVE, HUBS, SETTLED, LONG = 2, 48, 32, 24, 64
 #: Pairs that are compared at once.
 BLOCK_PAIRS = 1 << 18
-BROADCAST_DOCS = 200_000
+BROADCAST_DOCS, DIRECT_LINES = 200_000, 1000
 NULL_DOC = -(1 << 63)
 
 
@@ -79,12 +80,13 @@ class Lines:
         spread_out = mix(token)
         if len(self.first):
             self.node = mix(np.add.reduceat(spread_out, self.first) + self.size.astype(np.uint64)).view(np.int64)
-            bit, high = np.uint64(1) << (spread_out >> np.uint64(58)), (spread_out >> np.uint64(57)) & np.uint64(1)
-            wide = np.repeat(self.size > WIDE, self.size)
-            upper = np.where(wide & (high == 1), bit, np.uint64(0))
-            self.low, self.high = np.bitwise_xor.reduceat(bit ^ upper, self.first), np.bitwise_xor.reduceat(upper, self.first)
+            # word 0 of the map for small sets, words 0 and 1 for wide, 0 to 3 for very wide ones
+            bit, word = np.uint64(1) << (spread_out >> np.uint64(58)), (spread_out >> np.uint64(56)) & np.uint64(3)
+            width = np.repeat(np.select([self.size > VERY_WIDE, self.size > WIDE], [np.uint64(3), np.uint64(1)], np.uint64(0)), self.size)
+            word &= width
+            self.bits = np.stack([np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), self.first) for k in range(4)], 1)
         else:
-            self.node, self.low, self.high = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            self.node, self.bits = np.zeros(0, np.int64), np.zeros((0, 4), np.uint64)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -99,7 +101,7 @@ def needed(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-ENTRY = (np.uint64, np.int64, np.uint32, np.uint32, np.uint64, np.uint64, np.int64, np.uint32)
+ENTRY = (np.uint64, np.int64, np.uint32, np.uint32, np.uint64, np.uint64, np.uint64, np.uint64, np.int64, np.uint32)
 OUT = "kind int, doc long, line int, other_doc long, other_line int, more binary"
 
 
@@ -119,11 +121,11 @@ def _slice_rows(classes, percent: int, n_buckets: int, only=None):
                 x = Lines(piece.column(1), classes.value)
                 if len(x.node):
                     doc = _ids(piece.column(0))[x.doc]
-                    parts.append((x.node, doc, x.number, x.size, x.low, x.high, x))
+                    parts.append((x.node, doc, x.number, x.size, x.bits, x))
                     base.append(len(x.node))
             if not parts:
                 continue
-            node, doc, line, size, low, high = (np.concatenate(c) for c in zip(*[p[:6] for p in parts]))
+            node, doc, line, size, bits = (np.concatenate(c) for c in zip(*[p[:5] for p in parts]))
             order = np.lexsort((line, doc, node))
             s, m = runs(node[order])
             firsts = order[s]
@@ -145,7 +147,7 @@ def _slice_rows(classes, percent: int, n_buckets: int, only=None):
             is_first[firsts] = True
             columns, offset = [], 0
             for p, n in zip(parts, base):
-                x = p[6]
+                x = p[5]
                 mine = np.flatnonzero(is_first[offset : offset + n])
                 length = x.size[mine] - -(-percent * x.size[mine] // 100) + 1
                 pos = spread(length)
@@ -163,59 +165,74 @@ def _slice_rows(classes, percent: int, n_buckets: int, only=None):
                 j = o[a : a + k]
                 i = of[j]
                 b.append(int(spot[j[0]]))
-                blob.append(pack(token[j], node[i], size[i].astype(np.uint32), pos[j].astype(np.uint32), low[i], high[i], doc[i], line[i].astype(np.uint32)))
+                blob.append(pack(token[j], node[i], size[i].astype(np.uint32), pos[j].astype(np.uint32), *np.ascontiguousarray(bits[i].T), doc[i], line[i].astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(blob, pa.binary())], ["b", "blob"])
 
     return blobs
 
 
 def _passing(n, pos, bits, a, b, percent: int) -> np.ndarray:
-    """Length, positional and parity filter. bits: (size, 2), low and high words; a narrow map is the fold of a wide one."""
+    """Length, positional and parity filter of pairs of a run. A narrow parity map is the fold of a wider one."""
     na, nb = n[a], n[b]
     need = needed(na, nb, percent)
-    small, large = np.minimum(na, nb), np.maximum(na, nb)
-    ok = (100 * small >= percent * large) & (1 + np.minimum(na - pos[a] - 1, nb - pos[b] - 1) >= need)
-    i = np.flatnonzero(ok)
-    most = na[i] + nb[i] - 2 * need[i]
+    small = np.minimum(na, nb)
+    most = na + nb - 2 * need
     # sets of a run differ: by one element at least, by two if they are of one size
-    i, most = i[most >= 2 - (na[i] + nb[i]) % 2], most[most >= 2 - (na[i] + nb[i]) % 2]
+    ok = (100 * small >= percent * np.maximum(na, nb)) & (1 + np.minimum(na - pos[a] - 1, nb - pos[b] - 1) >= need) & (most >= 2 - (na + nb) % 2)
+    i = np.flatnonzero(ok)
     x = bits[a[i]] ^ bits[b[i]]
-    both = np.minimum(na[i], nb[i]) > WIDE
-    apart = np.where(both, np.bitwise_count(x).sum(1), np.bitwise_count(x[:, 0] ^ x[:, 1]))
-    ok[:] = False
-    ok[i[apart <= most]] = True
+    count = np.bitwise_count
+    two = x[:, :2] ^ x[:, 2:]
+    apart = np.select([small[i] > VERY_WIDE, small[i] > WIDE], [count(x).sum(1), count(two).sum(1)], count(two[:, 0] ^ two[:, 1]))
+    ok[i] = apart <= most[i]
     return ok
 
 
-def _earlier(n, pos, bits, percent: int, everything: bool, hubs: int, enough: int, long: int):
-    """For a run in order of time: (later, earlier) pairs that pass, ascending by both, and the members that have enough with the run's first ones, so the rest wasn't tried."""
-    m = len(n)
-    settled = np.zeros(0, np.int64)
+def _candidates(start, length, n, pos, bits, percent: int, hubs: int, enough: int, long: int):
+    """For runs whose members stand in order of time: (later, earlier) pairs that pass, and the members that have enough with their run's first ones, so the rest wasn't tried.
+
+    All runs go side by side: members of long runs meet the run's first
+    ``hubs``; then, in order of size, each member meets those within the
+    length filter's reach, in blocks of pairs.
+    """
+    run = np.repeat(np.arange(len(start)), length)
+    hits = np.zeros(len(n), np.int64)
     found_a, found_b = [], []
-    todo = np.arange(1, m)
-    if m > long and not everything:
-        hits = np.zeros(m, np.int64)
-        for hub in range(hubs):
-            i = todo[todo > hub]
-            ok = _passing(n, pos, bits, i, np.full(len(i), hub), percent)
-            found_a.append(i[ok])
-            found_b.append(np.full(int(ok.sum()), hub))
-            hits[i[ok]] += 1
-        settled = np.flatnonzero(hits >= enough)
-        todo = todo[hits[todo] < enough]
-    seen = hubs if m > long and not everything else 0
-    for lo in range(0, len(todo), max(1, BLOCK_PAIRS // m)):
-        i = todo[lo : lo + max(1, BLOCK_PAIRS // m)]
-        j = np.arange(seen, m)
-        a, b = np.repeat(i, len(j)), np.tile(j, len(i))
-        keep = b < a
+    i = np.flatnonzero(np.repeat(length > long, length))
+    head = np.repeat(start, length)
+    for h in range(hubs):
+        i = i[(hits[i] < enough)]
+        j = i[i > head[i] + h]
+        for lo in range(0, len(j), BLOCK_PAIRS):
+            a = j[lo : lo + BLOCK_PAIRS]
+            b = head[a] + h
+            ok = _passing(n, pos, bits, a, b, percent)
+            found_a.append(a[ok])
+            found_b.append(b[ok])
+            hits[a[ok]] += 1
+    settled = np.flatnonzero(hits >= enough)
+    tried = np.where(np.repeat(length > long, length), head + hubs, 0)  # earlier members below this place were met
+    by_size = np.lexsort((n, run))
+    key = (run[by_size].astype(np.int64) << 32) | n[by_size]
+    last = np.searchsorted(key, (run[by_size].astype(np.int64) << 32) | (n[by_size] * 100 // percent), "right")
+    reach = last - np.arange(len(key)) - 1
+    total = np.cumsum(reach)
+    lo = 0
+    while lo < len(key):
+        base = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, base + BLOCK_PAIRS, "right")))
+        r = reach[lo:hi]
+        x = np.repeat(np.arange(lo, hi), r)
+        y = x + 1 + spread(r)
+        x, y = by_size[x], by_size[y]
+        a, b = np.maximum(x, y), np.minimum(x, y)
+        keep = (hits[a] < enough) & (b >= tried[a])
         a, b = a[keep], b[keep]
         ok = _passing(n, pos, bits, a, b, percent)
         found_a.append(a[ok])
         found_b.append(b[ok])
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    order = np.lexsort((b, a))
-    return a[order], b[order], settled
+        lo = hi
+    return np.concatenate(found_a), np.concatenate(found_b), settled
 
 
 def _matches(percent: int, n_buckets: int, wanted=None):
@@ -235,8 +252,8 @@ def _matches(percent: int, n_buckets: int, wanted=None):
                 late[s] = False
                 yield _out(2, doc[order[late]], line[order[late]])
                 continue
-            token, node, n, pos, low, high, doc, line = (np.concatenate(c) for c in zip(*[unpack(r["blob"], *ENTRY) for r in rows]))
-            bits = np.stack([low, high], 1)
+            token, node, n, pos, *bits, doc, line = (np.concatenate(c) for c in zip(*[unpack(r["blob"], *ENTRY) for r in rows]))
+            bits = np.stack(bits, 1)
             order = np.argsort(token, kind="stable")
             s, m = runs(token[order])
             several = m > 1
@@ -252,23 +269,8 @@ def _matches(percent: int, n_buckets: int, wanted=None):
             keep = keep[np.lexsort((time[keep], token[keep]))]
             token, n, pos, bits, doc, line = token[keep], n[keep].astype(np.int64), pos[keep].astype(np.int64), bits[keep], doc[keep], line[keep]
             s, m = runs(token)
-            out_a, out_b, over = [], [], [np.zeros(0, np.int64)]
-            short = m <= SHORT
-            if short.any():  # all short runs at once
-                i = np.repeat(s[short], m[short]) + spread(m[short])
-                end = np.repeat(s[short] + m[short], m[short])
-                for gap in range(1, int(m[short].max())):
-                    more = i + gap < end
-                    i, end = i[more], end[more]
-                    ok = _passing(n, pos, bits, i + gap, i, percent)
-                    out_a.append(i[ok] + gap)
-                    out_b.append(i[ok])
-            for a, k in zip(s[~short], m[~short]):
-                x, y, settled = _earlier(n[a : a + k], pos[a : a + k], bits[a : a + k], percent, wanted is not None, HUBS, SETTLED, LONG)
-                out_a.append(x + a)
-                out_b.append(y + a)
-                over.append(settled + a)
-            a, b = (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64),) * 2
+            everything = wanted is not None
+            a, b, settled = _candidates(s, m, n, pos, bits, percent, 0 if everything else HUBS, SETTLED, LONG)
             if wanted is not None:
                 ok = may_hold(wanted.value, _place(doc[a], line[a]))
                 yield _out(0, doc[a[ok]], line[a[ok]], doc[b[ok]], line[b[ok]])
@@ -284,7 +286,7 @@ def _matches(percent: int, n_buckets: int, wanted=None):
                 x, y = a[later], b[later]
                 f, c = runs(x)
                 yield _out(1, doc[x[f]], line[x[f]], more=[pack(doc[y[i : i + j]], line[y[i : i + j]]) for i, j in zip(f, c)])
-            over = np.concatenate([a[first[k > RESERVE]], *over])
+            over = np.concatenate([a[first[k > RESERVE]], settled])
             if len(over):
                 yield _out(3, doc[over], line[over])
 
@@ -373,10 +375,47 @@ class LineJoin:
         if not more.isEmpty():
             gone = gone.unionByName(self._verified(more))
         rest = written(found.filter("kind = 3").select(key).distinct().join(gone, key, "left_anti"), "rest")
-        if not rest.isEmpty():
-            gone = gone.unionByName(self._verified(self._all_of(rest)))
+        if left := rest.count():
+            gone = gone.unionByName(self._directly(rest) if left <= DIRECT_LINES else self._verified(self._all_of(rest)))
         return found.filter("kind = 2").select(key).unionByName(gone)
 
+    def _directly(self, rest: DataFrame) -> DataFrame:
+        """The matched ones of a few lines: all texts pass once by their sets, which every task has."""
+        percent, classes = self.percent, self.classes
+        keys = {(r["doc"], r["line"]) for r in rest.collect()}
+        few = F.broadcast(rest.select(F.col("doc").alias("few")).distinct())
+
+        def fetch(batches):
+            for batch in slices(batches):
+                x, ids = Lines(batch.column(1), classes.value), _ids(batch.column(0))
+                at = [k for k in range(len(x.node)) if (int(ids[x.doc[k]]), int(x.number[k])) in keys]
+                yield pa.RecordBatch.from_arrays([pa.array([int(ids[x.doc[k]]) for k in at], pa.int64()), pa.array([int(x.number[k]) for k in at], pa.int32()), pa.array([x.tokens[x.first[k] : x.first[k] + x.size[k]].tobytes() for k in at], pa.binary())], ["doc", "line", "elements"])
+
+        own = self.docs.join(few, F.coalesce(self.docs["doc_id"], F.lit(NULL_DOC)) == few["few"], "left_semi")
+        sets = [(r["doc"], r["line"], np.frombuffer(r["elements"], np.uint64)) for r in own.mapInArrow(fetch, "doc long, line int, elements binary").collect()]
+        holders: dict[int, list[int]] = {}
+        for k, (_, _, x) in enumerate(sets):
+            for token in x[: len(x) + 1 + -percent * len(x) // 100].tolist():
+                holders.setdefault(token, []).append(k)
+        shared = self.spark.sparkContext.broadcast((np.array(sorted(holders), np.uint64), holders, sets))
+
+        def scan(batches):
+            wanted, holders, sets = shared.value
+            for batch in slices(batches):
+                x, ids = Lines(batch.column(1), classes.value), _ids(batch.column(0))
+                hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, x.tokens), len(wanted) - 1)] == x.tokens)
+                lines = np.searchsorted(x.first, hit, "right") - 1
+                found = set()
+                for l, k in {(l, k) for l, token in zip(lines.tolist(), x.tokens[hit].tolist()) for k in holders[token]}:
+                    doc, line, y = sets[k]
+                    if (int(ids[x.doc[l]]), int(x.number[l])) < (doc, line):
+                        common = len(np.intersect1d(x.tokens[x.first[l] : x.first[l] + x.size[l]], y, assume_unique=True))
+                        if 100 * common >= percent * (int(x.size[l]) + len(y) - common):
+                            found.add((doc, line))
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([l for _, l in found], pa.int32())], ["doc", "line"])
+
+        return written(self.docs.mapInArrow(scan, "doc long, line int").distinct(), "matched")
+
     def _all_of(self, rest: DataFrame) -> DataFrame:
         """All candidates of the lines in ``rest``: the entries of their elements once more."""
         percent, classes = self.percent, self.classes

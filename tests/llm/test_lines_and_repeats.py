@@ -23,10 +23,10 @@ def brute_lines(rows, percent=80):
     return out
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_lines(docs, rows, monkeypatch, small):
-    if small:  # long runs, reserves and the last exact pass
-        for k, v in {"FIRST": 1, "RESERVE": 2, "HUBS": 2, "SETTLED": 1, "LONG": 6, "SHORT": 3}.items():
+@pytest.mark.parametrize("direct", [None, 1000, 0])
+def test_lines(docs, rows, monkeypatch, direct):
+    if direct is not None:  # long runs, reserves and either last exact pass
+        for k, v in {"DIRECT_LINES": direct, "FIRST": 1, "RESERVE": 2, "HUBS": 2, "SETTLED": 1, "LONG": 6}.items():
             monkeypatch.setattr(L, k, v)
     out = L.line_dedup(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_removed"]
