@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one Arrow batch and one vectorised slice hold at most (a single longer text stands alone).
 BATCH_BYTES = 8 << 20
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _LOCAL: dict[str, str] = {}
 
 

@@ -41,7 +41,7 @@ SLOT_BITS, CLASS_BITS, TOKEN_BITS = 20, 5, 47
 LEAST_BUCKETS, BUCKET_BYTES = 64, 6 << 20
 #: Sets of more words have parity maps of 128 and of 256 bits, smaller ones of 64.
 WIDE, VERY_WIDE = 40, 120
-FIRST, RESERVE, HUBS, SETTLED, LONG = 2, 48, 32, 24, 64
+FIRST, RESERVE, HUBS, SETTLED, LONG = 2, 48, 20, 14, 64
 #: Pairs that are compared at once.
 BLOCK_PAIRS = 1 << 18
 BROADCAST_DOCS, DIRECT_LINES = 200_000, 1000
@@ -52,6 +52,17 @@ def classes_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(2 * np.log2(np.maximum(counts, 1))) / 2, (1 << CLASS_BITS) - 1).astype(np.uint64)
 
 
+def tokens_of(h: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Elements of words: rarity class, then the hash's leading bits."""
+    slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return (classes[slot] << np.uint64(TOKEN_BITS - CLASS_BITS)) | (h >> np.uint64(64 - TOKEN_BITS + CLASS_BITS))
+
+
+def _among(wanted: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are in the sorted, non-empty ``wanted``."""
+    return wanted[np.minimum(np.searchsorted(wanted, x), len(wanted) - 1)] == x
+
+
 class Lines:
     """Lines with words of a slice: doc index, number in its text, set size, first element, digest, parity map; ``tokens`` sorted by line, rare first."""
 
@@ -64,8 +75,7 @@ class Lines:
         at = np.flatnonzero(fresh)
         self.doc, self.number = w.doc[at], number[at].astype(np.int64)
         line = np.cumsum(fresh) - 1
-        slot = (w.hash >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        token = (classes[slot] << np.uint64(TOKEN_BITS - CLASS_BITS)) | (w.hash >> np.uint64(64 - TOKEN_BITS + CLASS_BITS))
+        token = tokens_of(w.hash, classes)
         if len(at) < 1 << (64 - TOKEN_BITS):
             key = np.sort((line.astype(np.uint64) << np.uint64(TOKEN_BITS)) | token)
             key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
@@ -402,8 +412,14 @@ class LineJoin:
         def scan(batches):
             wanted, holders, sets = shared.value
             for batch in slices(batches):
+                w = Words(batch.column(1), lower=True)
+                # texts with one of the elements; only these are cut into lines
+                some = np.unique(w.doc[_among(wanted, tokens_of(w.hash, classes.value))])
+                if not len(some):
+                    continue
+                batch = batch.take(pa.array(some))
                 x, ids = Lines(batch.column(1), classes.value), _ids(batch.column(0))
-                hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, x.tokens), len(wanted) - 1)] == x.tokens)
+                hit = np.flatnonzero(_among(wanted, x.tokens))
                 lines = np.searchsorted(x.first, hit, "right") - 1
                 found = set()
                 for l, k in {(l, k) for l, token in zip(lines.tolist(), x.tokens[hit].tolist()) for k in holders[token]}:
