@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import imagery
 from ..functions.numeric import linear_combination
 from ..operators import bayes, ml, spatial, stats
-from .q_space import _GRID_SQL, _few, _grid, _part, _PART, hav
+from .q_space import _CORES, _GRID_SQL, _few, _grid, _part, _PART, hav
 from .registry import POINTS, points, query, read, rounded
 
 
@@ -51,7 +51,7 @@ def alternate_labels(spark, sf):
     return points(spark, sf).select("id", (F.row_number().over(Window.partitionBy("stratum").orderBy("id")) % 2).alias("side"))
 
 
-_D = f"d AS (SELECT g.row, g.col, min({hav('g', 's')}) AS d FROM grid g, (SELECT * FROM sup WHERE id < 6) s GROUP BY 1, 2)"
+_D = f"d AS (SELECT g.row, g.col, min({hav('g', 's')}) AS d FROM grid g, {_CORES} s GROUP BY 1, 2)"
 
 
 @query("masked_surface", POINTS + f", {_GRID_SQL}, {_D} SELECT row, col, CASE WHEN d <= 15 THEN round(exp(-0.5e0 * pow(d / 10e0, 2)), 6) END AS w FROM d")
@@ -61,7 +61,7 @@ def masked_surface(spark, sf):
     return rounded(g.select("row", "col", F.when(F.col("d") <= 15, bayes.kernel("d", 10.0)).alias("w")), 6, "w")
 
 
-@query("length_scale_sweep", POINTS + f""", {_GRID_SQL}, w AS (SELECT g.row, g.col, l, sum(exp(-0.5e0 * pow({hav('g', 's')} / l, 2)) / ((50e0 + s.id) * (50e0 + s.id))) AS tau FROM grid g, (SELECT * FROM sup WHERE id < 6) s, (VALUES (5e0), (10e0), (25e0)) v(l) GROUP BY 1, 2, 3)
+@query("length_scale_sweep", POINTS + f""", {_GRID_SQL}, w AS (SELECT g.row, g.col, l, sum(exp(-0.5e0 * pow({hav('g', 's')} / l, 2)) / ((50e0 + s.id) * (50e0 + s.id))) AS tau FROM grid g, {_CORES} s, (VALUES (5e0), (10e0), (25e0)) v(l) GROUP BY 1, 2, 3)
 SELECT l AS length, round(avg(tau / (1 / 90000e0 + tau)), 6) AS mean_info, round(max(tau / (1 / 90000e0 + tau)), 6) AS max_info FROM w GROUP BY 1""")
 def length_scale_sweep(spark, sf):
     g, cores, out = _grid(spark), _few(spark, sf), None

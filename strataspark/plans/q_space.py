@@ -62,13 +62,16 @@ def grid_make(spark, sf):
     return rounded(_GRID.pixels(spark), 6, "x", "y")
 
 
-def _few(spark, sf, n=6):
-    """The cores of the update: a few suppliers, as parameters."""
-    rows = points(spark, sf).filter(F.col("id") < n).orderBy("id").limit(n).collect()
+_CORES = "(SELECT stratum AS id, avg(lon) AS lon, avg(lat) AS lat, avg(v) AS v FROM sup GROUP BY 1)"
+
+
+def _few(spark, sf):
+    """The cores of the update: one a nation, 25 at most, from all suppliers."""
+    rows = points(spark, sf).groupBy(F.col("stratum").alias("id")).agg(*[F.avg(c).alias(c) for c in ("lon", "lat", "v")]).orderBy("id").collect()
     return [{"lon": r["lon"], "lat": r["lat"], "y": r["v"], "sigma": 50.0 + r["id"], "stratum": r["id"] % 2} for r in rows]
 
 
-@query("coverage_bands", POINTS + f", {_GRID_SQL}, d AS (SELECT g.row, g.col, min({hav('g', 's')}) AS d FROM grid g, (SELECT * FROM sup WHERE id < 6) s GROUP BY 1, 2) SELECT r AS radius_km, round(100e0 * avg(CASE WHEN d <= r THEN 1e0 ELSE 0e0 END), 4) AS pct, round(sum(CASE WHEN d <= r THEN 1e0 ELSE 0e0 END) * 4, 4) AS area_km2 FROM d, (VALUES (2e0), (5e0), (10e0), (25e0)) v(r) GROUP BY 1")
+@query("coverage_bands", POINTS + f", {_GRID_SQL}, d AS (SELECT g.row, g.col, min({hav('g', 's')}) AS d FROM grid g, {_CORES} s GROUP BY 1, 2) SELECT r AS radius_km, round(100e0 * avg(CASE WHEN d <= r THEN 1e0 ELSE 0e0 END), 4) AS pct, round(sum(CASE WHEN d <= r THEN 1e0 ELSE 0e0 END) * 4, 4) AS area_km2 FROM d, (VALUES (2e0), (5e0), (10e0), (25e0)) v(r) GROUP BY 1")
 def coverage_bands(spark, sf):
     cores = [(i, c["lon"], c["lat"]) for i, c in enumerate(_few(spark, sf))]
     near = _grid(spark).withColumn("d", spatial.nearest_of(cores, "lon", "lat")["d"])
@@ -129,26 +132,28 @@ def lcc_roundtrip(spark, sf):
 
 # ---------------------------------------------------------------- rasters: parts laid out in rows of 50
 
-_PART = "r AS (SELECT CAST(p_partkey // 50 AS INTEGER) AS row, CAST(p_partkey % 50 AS INTEGER) AS col, p_retailprice AS z, p_size AS class FROM part WHERE p_partkey < 2000)"
+_PART = "r AS (SELECT CAST(p_partkey // 50 AS INTEGER) AS row, CAST(p_partkey % 50 AS INTEGER) AS col, p_retailprice AS z, p_size AS class FROM part)"
 
 
 def _part(spark, sf):
-    return read(spark, sf, "part").filter("p_partkey < 2000").select(F.floor(F.col("p_partkey") / 50).cast("int").alias("row"), F.pmod("p_partkey", F.lit(50)).cast("int").alias("col"), F.col("p_retailprice").alias("z"), F.col("p_size").alias("class"))
+    return read(spark, sf, "part").select(F.floor(F.col("p_partkey") / 50).cast("int").alias("row"), F.pmod("p_partkey", F.lit(50)).cast("int").alias("col"), F.col("p_retailprice").alias("z"), F.col("p_size").alias("class"))
 
 
-_PG = Grid(50, 40, 0.02, 0.025, -88.0, 56.5)
+def _pg(spark, sf, xmin=-88.0, ymax=56.5):
+    """The grid that holds all parts."""
+    return Grid(50, read(spark, sf, "part").agg(F.max("p_partkey")).first()[0] // 50 + 1, 0.02, 0.025, xmin, ymax)
 
 
-@query("bilinear_sample", POINTS + f""", {_PART}, p AS (SELECT id, (56.5e0 - lat) / 0.025e0 - 0.5e0 AS r0, (lon + 88e0) / 0.02e0 - 0.5e0 AS c0 FROM sup), i AS (SELECT * FROM p WHERE r0 BETWEEN -0.5 AND 39.5 AND c0 BETWEEN -0.5 AND 49.5),
-k AS (SELECT id, CAST(greatest(0, least(39, floor(r0) + a)) AS INTEGER) AS row, CAST(greatest(0, least(49, floor(c0) + b)) AS INTEGER) AS col, (CASE a WHEN 1 THEN r0 - floor(r0) ELSE 1 - (r0 - floor(r0)) END) * (CASE b WHEN 1 THEN c0 - floor(c0) ELSE 1 - (c0 - floor(c0)) END) AS w FROM i, (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b))
+@query("bilinear_sample", POINTS + f""", {_PART}, p AS (SELECT id, (56.5e0 - lat) / 0.025e0 - 0.5e0 AS r0, (lon + 88e0) / 0.02e0 - 0.5e0 AS c0 FROM sup), i AS (SELECT * FROM p WHERE r0 BETWEEN -0.5 AND (SELECT max(row) FROM r) + 0.5 AND c0 BETWEEN -0.5 AND 49.5),
+k AS (SELECT id, CAST(greatest(0, least((SELECT max(row) FROM r), floor(r0) + a)) AS INTEGER) AS row, CAST(greatest(0, least(49, floor(c0) + b)) AS INTEGER) AS col, (CASE a WHEN 1 THEN r0 - floor(r0) ELSE 1 - (r0 - floor(r0)) END) * (CASE b WHEN 1 THEN c0 - floor(c0) ELSE 1 - (c0 - floor(c0)) END) AS w FROM i, (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b))
 SELECT sup.id, round(v.z, 4) AS z FROM sup LEFT JOIN (SELECT id, sum(w * z) AS z FROM k JOIN r USING (row, col) GROUP BY 1) v ON v.id = sup.id""")
 def bilinear_sample(spark, sf):
-    return rounded(raster.sample(points(spark, sf).select("id", "lon", "lat"), _part(spark, sf), _PG, "lon", "lat", "z"), 4, "z").select("id", "z")
+    return rounded(raster.sample(points(spark, sf).select("id", "lon", "lat"), _part(spark, sf), _pg(spark, sf), "lon", "lat", "z"), 4, "z").select("id", "z")
 
 
 @query("nearest_sample", POINTS + f""", {_PART}, p AS (SELECT id, CAST(floor((56.5003e0 - lat) / 0.025e0) AS INTEGER) AS row, CAST(floor((lon + 88.0003e0) / 0.02e0) AS INTEGER) AS col FROM sup) SELECT id, class FROM p LEFT JOIN r USING (row, col)""")
 def nearest_sample(spark, sf):
-    out = raster.sample(points(spark, sf).select("id", "lon", "lat"), _part(spark, sf), Grid(50, 40, 0.02, 0.025, -88.0003, 56.5003), "lon", "lat", "class", "class", "nearest")
+    out = raster.sample(points(spark, sf).select("id", "lon", "lat"), _part(spark, sf), _pg(spark, sf, -88.0003, 56.5003), "lon", "lat", "class", "class", "nearest")
     return out.select("id", F.col("class").cast("int").alias("class"))
 
 
@@ -185,7 +190,7 @@ def probe_layer(spark, sf):
 # ---------------------------------------------------------------- posterior maps
 
 _PW = f"exp(-0.5e0 * pow({hav('g', 's')} / 15e0, 2))"
-_POST = POINTS + f", {_GRID_SQL}, w AS (SELECT g.row, g.col, CASE WHEN {hav('g', 's')} > 40 OR (g.row + g.col) % 2 <> s.id % 2 THEN 0e0 ELSE {_PW} END / ((50e0 + s.id) * (50e0 + s.id)) AS t, s.v FROM grid g, (SELECT * FROM sup WHERE id < 6) s), q AS (SELECT row, col, sum(t) AS tau, sum(t * v) AS tau_y FROM w GROUP BY 1, 2) "
+_POST = POINTS + f", {_GRID_SQL}, w AS (SELECT g.row, g.col, CASE WHEN {hav('g', 's')} > 40 OR (g.row + g.col) % 2 <> s.id % 2 THEN 0e0 ELSE {_PW} END / ((50e0 + s.id) * (50e0 + s.id)) AS t, s.v FROM grid g, {_CORES} s), q AS (SELECT row, col, sum(t) AS tau, sum(t * v) AS tau_y FROM w GROUP BY 1, 2) "
 
 
 def _sums(spark, sf):
@@ -265,9 +270,10 @@ def geotiff_roundtrip(spark, sf):
 
     register(spark)
     path = f"{tempfile.gettempdir()}/strataspark-{uuid.uuid4().hex}.tif"
+    g = _pg(spark, sf)
     src = _part(spark, sf).select("row", "col", F.col("z").cast("float").cast("double").alias("z"))
-    px = src.withColumns({"x": _PG.x(F.col("col")), "y": _PG.y(F.col("row"))}).select("row", "col", "x", "y", "z")
-    px.write.format("geotiff").mode("append").options(path=path, nx=_PG.nx, ny=_PG.ny, xres=_PG.xres, yres=_PG.yres, xmin=_PG.xmin, ymax=_PG.ymax, epsg=4326).save()
+    px = src.withColumns({"x": g.x(F.col("col")), "y": g.y(F.col("row"))}).select("row", "col", "x", "y", "z")
+    px.write.format("geotiff").mode("append").options(path=path, nx=g.nx, ny=g.ny, xres=g.xres, yres=g.yres, xmin=g.xmin, ymax=g.ymax, epsg=4326).save()
     back = spark.read.format("geotiff").load(path).select("row", "col", F.col("z").alias("z2")).filter("z2 is not null")
     met = src.join(back, ["row", "col"], "full")
     return met.agg(F.count("*").alias("n"), F.count_if(~F.col("z").eqNullSafe(F.col("z2"))).alias("n_differ"))
@@ -278,10 +284,9 @@ def hull_points(spark, sf):
     return spatial.hull(points(spark, sf), "lon", "lat")
 
 
-@query("dist_matrix_summary", POINTS + f"SELECT count(*) AS n_pairs, round(max({_BH}), 6) AS extent, round(avg({_BH}), 6) AS mean FROM (SELECT * FROM sup WHERE id < 60) a JOIN (SELECT * FROM sup WHERE id < 60) b ON a.id < b.id")
-def dist_matrix_summary(spark, sf):
-    few = points(spark, sf).filter("id < 60")
-    p = spatial.pairs_within(few, "id", 400.0)
+@query("pair_summary", POINTS + f"SELECT count(*) AS n_pairs, round(max({_BH}), 6) AS extent, round(avg({_BH}), 6) AS mean FROM sup a JOIN sup b ON a.id < b.id WHERE {_BH} <= 10")
+def pair_summary(spark, sf):
+    p = spatial.pairs_within(points(spark, sf), "id", 10.0)
     return rounded(p.agg(F.count("*").alias("n_pairs"), F.max("d").alias("extent"), F.avg("d").alias("mean")), 6, "extent", "mean")
 
 

@@ -206,8 +206,9 @@ def forest_predict(spark, sf):
 
 @query("rf_importance")
 def rf_importance(spark, sf):
-    s = read(spark, sf, "supplier").filter("s_suppkey < 60").select(F.pmod("s_suppkey", F.lit(6)).alias("g"), F.pmod("s_suppkey", F.lit(7)).cast("double").alias("signal"), F.pmod("s_suppkey", F.lit(5)).cast("double").alias("noise"))
-    return ml.importance(s.withColumn("y", F.col("signal") * 3), ["signal", "noise"], "y", "g", shuffles=3, nulls=6, trees=8)
+    s = read(spark, sf, "supplier").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("balance"), F.count("*").cast("double").alias("n"))
+    frame = s.select(F.pmod("s_nationkey", F.lit(5)).alias("g"), "balance", "n", (F.col("balance") * 3).alias("y"))
+    return ml.importance(frame, ["balance", "n"], "y", "g", shuffles=3, nulls=6, trees=8)
 
 
 # ---------------------------------------------------------------- extensions on the event table
