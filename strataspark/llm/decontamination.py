@@ -3,7 +3,10 @@
 Texts and items are canonicalised alike: numbers become a typed placeholder,
 so do units after a number and capitalised words inside a sentence (names);
 all else is lower-cased and loses its punctuation.  Windows of ``width``
-canonical words, hashed, are joined by hash.  A window with slots must also
+canonical words, hashed, are joined by hash.  A window with fewer than
+``LITERALS`` of its words outside slots says little by its template: it is
+hashed with its slots' values, so it matches only where these are equal too,
+and counts as one without slots.  Any other window with slots must also
 agree with its item: along one alignment of a document with an item, equal
 values of the item's slots have equal values in the document's.  An item is
 found in a document if its matching windows reach ``share`` of its windows.
@@ -49,21 +52,37 @@ def template(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.startswith(MARK), F.substring(w, 1, 2)).otherwise(w))
 
 
-def _windows(words: Column, width: int) -> Column:
-    """(pos, h) of each window of ``width`` words; pos from 1."""
+def _slots(words: Column) -> Column:
+    return F.filter(words, lambda w: w.startswith(MARK))
+
+
+def _dense(words: Column, width) -> Column:
+    """Whether a window of templates or marked words has too many slots to be known by its template."""
+    return F.size(_slots(words)) > (1 - LITERALS) * width
+
+
+def _windows(words: Column, plain: Column, width: int) -> Column:
+    """(pos, h) of each window of ``width`` marked words, of which ``plain`` are the templates; pos from 1."""
     last = F.size(words) - width + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(words, i, width)).alias("h"))))
+
+    def window(i):
+        t = F.slice(plain, i, width)
+        return F.struct(i.alias("pos"), F.xxhash64(F.when(_dense(t, width), F.slice(words, i, width)).otherwise(t)).alias("h"))
+
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), window))
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
-    """item_id, width, pos, h, slots (of the window, in order), n_windows."""
+    """item_id, width, pos, h, slots (of the window, in order; none of a dense one), n_windows."""
     words = items.filter("item_id is not null and text is not null").select("item_id", marked(F.col("text").cast("string")).alias("marked")).dropDuplicates()
     words = words.withColumn("size", F.size("marked")).filter(F.col("size") >= LEAST_WORDS).withColumn("width", F.least(F.lit(width), F.col("size")))
     last = F.col("size") - F.col("width") + 1
     window = F.explode(F.sequence(F.lit(1), last))
     cut = words.select("item_id", "marked", "width", last.alias("n_windows"), window.alias("item_pos")).withColumn("words", F.slice("marked", F.col("item_pos"), F.col("width")))
-    slots = F.filter("words", lambda w: w.startswith(MARK))
-    return cut.withColumn("slots", slots).filter(F.size("slots") <= (1 - LITERALS) * F.col("width")).select("item_id", "width", "item_pos", F.xxhash64(template(F.col("words"))).alias("h"), "slots", "n_windows")
+    plain, dense = template(F.col("words")), _dense(F.col("words"), F.col("width"))
+    h = F.xxhash64(F.when(dense, F.col("words")).otherwise(plain))
+    slots = F.when(dense, F.slice("words", 1, 0)).otherwise(_slots(F.col("words")))
+    return cut.select("item_id", "width", "item_pos", h.alias("h"), slots.alias("slots"), "n_windows")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
@@ -73,11 +92,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, share:
     small = found.count() <= BROADCAST_WINDOWS
     widths = sorted(r[0] for r in found.select("width").distinct().collect())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    templates = texts.select("doc_id", template(marked(F.col("text"))).alias("words"))
+    templates = texts.select("doc_id", marked(F.col("text")).alias("words")).withColumn("plain", template(F.col("words")))
     matched = None
     for w in widths or [width]:  # one width, and those of items that are shorter
         keys = found.filter(F.col("width") == w).select("item_id", "item_pos", "h", "slots", "n_windows")
-        part = templates.select("doc_id", F.explode(_windows(F.col("words"), w)).alias("x")).select("doc_id", "x.pos", "x.h").join(F.broadcast(keys) if small else keys, "h")
+        part = templates.select("doc_id", F.explode(_windows(F.col("words"), F.col("plain"), w)).alias("x")).select("doc_id", "x.pos", "x.h").join(F.broadcast(keys) if small else keys, "h")
         part = part.select("doc_id", "item_id", "pos", "item_pos", "slots", "n_windows", F.lit(w).alias("width"))
         matched = part if matched is None else matched.unionByName(part)
     matched = written(matched, "matches")
@@ -87,7 +106,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, share:
         need = full.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "width")).alias("at"))
         need = F.broadcast(need) if need.count() <= BROADCAST_DOCS else need
         own = texts.join(need, "doc_id").select("doc_id", "at", marked(F.col("text")).alias("words"))
-        own = own.select("doc_id", F.explode("at").alias("x"), "words").select("doc_id", "x.pos", "x.width", F.filter(F.slice("words", F.col("x.pos"), F.col("x.width")), lambda w: w.startswith(MARK)).alias("values"))
+        own = own.select("doc_id", F.explode("at").alias("x"), "words").select("doc_id", "x.pos", "x.width", _slots(F.slice("words", F.col("x.pos"), F.col("x.width"))).alias("values"))
         pairs = full.join(own.dropDuplicates(["doc_id", "pos", "width"]), ["doc_id", "pos", "width"]).withColumn("at", F.col("pos") - F.col("item_pos"))
         slot = pairs.select("doc_id", "item_id", "at", F.explode(F.arrays_zip("slots", "values")).alias("s")).groupBy("doc_id", "item_id", "at", "s.slots").agg(F.count_distinct("s.values").alias("n"))
         verdict = slot.groupBy("doc_id", "item_id", "at").agg(F.max("n").alias("most"), F.count("*").cast("int").alias("n_slots")).filter("most = 1")

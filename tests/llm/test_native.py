@@ -26,6 +26,16 @@ def test_decontamination(spark, empty, odd):
     assert "Python" not in plan and "Cartesian" not in plan
 
 
+def test_decontamination_of_slot_dense_items(spark):
+    """Verbatim copies of items full of numbers or names are found, other values are not."""
+    items = [(1, "12 + 34 + 56 + 78 + 90 + 11 + 13 + 15"), (2, "wie weit ist der Weg vom Haus zum Markt wenn die Frau mit dem Hund und dem Kind am Fluss den Berg vom Dorf zur Stadt nimmt"), (3, "add 4 and 5 or 6")]
+    texts = {k: f"{FILL} {t} {FILL}" for k, t in items}
+    texts |= {11: f"{FILL} 21 + 43 + 65 + 87 + 19 + 22 + 24 + 26 {FILL}", 13: f"{FILL} add 7 and 8 or 9 {FILL}", 14: FILL}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(k, k) for k, _ in items} and all(r["n_matched"] == r["n_windows"] for r in got.values())
+
+
 def test_licenses(spark, empty, odd):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"
     texts = {1: f"{FILL} Licensed under CC BY-NC 4.0. {FILL}", 2: f"{FILL}\n{mit.upper()}\n{FILL}", 3: FILL, 4: "Released under the MIT License.", 5: None, 6: "", 7: f"{FILL} licensed under something else entirely {FILL}"}
