@@ -19,10 +19,16 @@ least ``percent`` / 100; lines are judged on the input, not on what is left.
 4. Pairs are verified on whole sets.  Sets that the reserve leaves open get all
    their candidates in a last exact pass: a few of them meet all texts at once,
    many get their entries dealt again.
-5. Documents meet their removed line numbers in a join on doc_id.
+5. Rows meet their removed line numbers in a join on their key.
+
+A row's key is its doc_id and, where doc_ids repeat or are null, a digest of its
+text: 32 bits that stand above the line number, so a place is (doc, digest and
+line); null ids have 30 bits more in place of the id.
 
 Defined cases: lines without words are never removed; null texts stay null;
-rows that share a doc_id share their lines' places, so such equal rows stay alike; a null doc_id comes before all others; extra columns are carried.
+rows that share a doc_id stand in the order of their digests; equal rows of one
+doc_id share their lines' places, none is earlier than the other, so they stay
+alike; a null doc_id comes before all others; extra columns are carried.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import buckets_of, count_blocks, dealt, drop, id_filter, may_hold, mix, pack, prepare, release, runs, spread, unpack, written
@@ -46,6 +52,10 @@ FIRST, RESERVE, HUBS, SETTLED, LONG = 2, 48, 20, 14, 64
 BLOCK_PAIRS = 1 << 18
 BROADCAST_DOCS, DIRECT_LINES = 200_000, 1000
 NULL_DOC = -(1 << 63)
+#: Bits of a place that hold the line number; a digest stands above them.
+LINE_BITS = 31
+#: Repeated ids that are named one by one; with more, every row has a digest.
+NAMED_IDS = 1000
 
 
 def classes_of(counts: np.ndarray) -> np.ndarray:
@@ -66,14 +76,15 @@ def _among(wanted: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Lines:
     """Lines with words of a slice: doc index, number in its text, set size, first element, digest, parity map; ``tokens`` sorted by line, rare first."""
 
-    def __init__(self, texts: pa.Array, classes: np.ndarray):
+    def __init__(self, texts: pa.Array, classes: np.ndarray, sub: np.ndarray):
         w = Words(texts, lower=True)
         newline = np.concatenate(([0], np.cumsum(w.data == 10)))
         number = newline[w.starts] - newline[w.offsets[w.doc]] if len(w.starts) else np.zeros(0, np.int64)
         fresh = np.ones(len(w.starts), bool)
         fresh[1:] = (number[1:] != number[:-1]) | (w.doc[1:] != w.doc[:-1])
         at = np.flatnonzero(fresh)
-        self.doc, self.number = w.doc[at], number[at].astype(np.int64)
+        self.doc = w.doc[at]
+        self.number = number[at].astype(np.int64) + (sub[self.doc] << LINE_BITS)
         line = np.cumsum(fresh) - 1
         token = tokens_of(w.hash, classes)
         if len(at) < 1 << (64 - TOKEN_BITS):
@@ -100,25 +111,41 @@ class Lines:
 
 
 def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(NULL_DOC).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def keyed(docs: DataFrame) -> tuple[Column, Column]:
+    """Row keys of ``docs`` (doc_id long, text string): the place's doc, and the digest where doc_id doesn't tell rows apart, else 0."""
+    ids = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    repeated = [r[0] for r in ids.limit(NAMED_IDS + 1).collect()]
+    digest, null = F.xxhash64("text"), F.col("doc_id").isNull()
+    doc = F.when(null, F.lit(NULL_DOC) + F.shiftrightunsigned(digest, 34)).otherwise(F.col("doc_id"))
+    several = F.lit(True) if len(repeated) > NAMED_IDS else null | F.col("doc_id").isin(repeated) if repeated else null
+    return doc, F.when(several, digest.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.lit(0)).cast("long")
 
 
 def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (mix(doc.astype(np.int64).view(np.uint64)) + line.astype(np.int64).view(np.uint64)).view(np.int64)
 
 
+def _late(doc: np.ndarray, line: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Members of runs in order of time whose place isn't the run's first."""
+    first = np.repeat(start, length)
+    return (doc != doc[first]) | (line != line[first])
+
+
 def needed(a, b, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-ENTRY = (np.uint64, np.int64, np.uint32, np.uint32, np.uint64, np.uint64, np.uint64, np.uint64, np.int64, np.uint32)
-OUT = "kind int, doc long, line int, other_doc long, other_line int, more binary"
+ENTRY = (np.uint64, np.int64, np.uint32, np.uint32, np.uint64, np.uint64, np.uint64, np.uint64, np.int64, np.int64)
+OUT = "kind int, doc long, line long, other_doc long, other_line long, more binary"
 
 
 def _out(kind: int, doc, line, other_doc=None, other_line=None, more=None) -> pa.RecordBatch:
     n = len(doc)
     none = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(doc, pa.int64()), pa.array(np.asarray(line).astype(np.int32)), none(other_doc, pa.int64()), none(None if other_line is None else np.asarray(other_line).astype(np.int32), pa.int32()), none(more, pa.binary())], ["kind", "doc", "line", "other_doc", "other_line", "more"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(doc, pa.int64()), pa.array(line, pa.int64()), none(other_doc, pa.int64()), none(other_line, pa.int64()), none(more, pa.binary())], ["kind", "doc", "line", "other_doc", "other_line", "more"])
 
 
 def _slice_rows(classes, percent: int, n_buckets: int, only=None):
@@ -128,7 +155,7 @@ def _slice_rows(classes, percent: int, n_buckets: int, only=None):
         for batch in slices(batches, "text", 3 << 20):
             parts, base = [], []
             for piece in slices(iter([batch])):
-                x = Lines(piece.column(1), classes.value)
+                x = Lines(piece.column(1), classes.value, _ids(piece.column(2)))
                 if len(x.node):
                     doc = _ids(piece.column(0))[x.doc]
                     parts.append((x.node, doc, x.number, x.size, x.bits, x))
@@ -141,18 +168,16 @@ def _slice_rows(classes, percent: int, n_buckets: int, only=None):
             firsts = order[s]
             b, blob = [], []
             if only is None:
-                late = np.ones(len(order), bool)
-                late[s] = False
-                gone = order[late]
+                gone = order[_late(doc[order], line[order], s, m)]
                 if len(gone):
                     b.append(-1 - int(gone[0]) % n_buckets)
-                    blob.append(pack(doc[gone], line[gone].astype(np.uint32)))
+                    blob.append(pack(doc[gone], line[gone]))
                 spot = n_buckets + (mix(node[firsts].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
                 o = np.argsort(spot, kind="stable")
                 for a, k in zip(*runs(spot[o])):
                     i = firsts[o[a : a + k]]
                     b.append(int(spot[o[a]]))
-                    blob.append(pack(node[i], doc[i], line[i].astype(np.uint32)))
+                    blob.append(pack(node[i], doc[i], line[i]))
             is_first = np.zeros(len(node), bool)
             is_first[firsts] = True
             columns, offset = [], 0
@@ -175,7 +200,7 @@ def _slice_rows(classes, percent: int, n_buckets: int, only=None):
                 j = o[a : a + k]
                 i = of[j]
                 b.append(int(spot[j[0]]))
-                blob.append(pack(token[j], node[i], size[i].astype(np.uint32), pos[j].astype(np.uint32), *np.ascontiguousarray(bits[i].T), doc[i], line[i].astype(np.uint32)))
+                blob.append(pack(token[j], node[i], size[i].astype(np.uint32), pos[j].astype(np.uint32), *np.ascontiguousarray(bits[i].T), doc[i], line[i]))
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(blob, pa.binary())], ["b", "blob"])
 
     return blobs
@@ -252,14 +277,12 @@ def _matches(percent: int, n_buckets: int, wanted=None):
         for bucket, rows in buckets_of(batches):
             if bucket < 0:
                 for r in rows:
-                    yield _out(2, *unpack(r["blob"], np.int64, np.uint32))
+                    yield _out(2, *unpack(r["blob"], np.int64, np.int64))
                 continue
             if bucket >= n_buckets:
-                node, doc, line = (np.concatenate(c) for c in zip(*[unpack(r["blob"], np.int64, np.int64, np.uint32) for r in rows]))
+                node, doc, line = (np.concatenate(c) for c in zip(*[unpack(r["blob"], np.int64, np.int64, np.int64) for r in rows]))
                 order = np.lexsort((line, doc, node))
-                s, _ = runs(node[order])
-                late = np.ones(len(order), bool)
-                late[s] = False
+                late = _late(doc[order], line[order], *runs(node[order]))
                 yield _out(2, doc[order[late]], line[order[late]])
                 continue
             token, node, n, pos, *bits, doc, line = (np.concatenate(c) for c in zip(*[unpack(r["blob"], *ENTRY) for r in rows]))
@@ -307,7 +330,9 @@ class LineJoin:
     def __init__(self, docs: DataFrame, percent: int):
         self.spark, self.percent = docs.sparkSession, percent
         prepare(self.spark)
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.key = keyed(typed)
+        self.docs = typed.select(self.key[0].alias("doc_id"), "text", self.key[1].alias("sub"))
 
         def count(batches):
             total = np.zeros(1 << SLOT_BITS, np.int64)
@@ -326,7 +351,7 @@ class LineJoin:
         by_doc = self.spark.sparkContext.broadcast(id_filter(ends, "doc"))
         texts, few = self.docs, ends.select(F.col("doc").alias("doc_id")).distinct().limit(BROADCAST_DOCS + 1)
         if ends.agg(F.approx_count_distinct("doc")).first()[0] < BROADCAST_DOCS // 2 and few.count() <= BROADCAST_DOCS:
-            texts = texts.join(F.broadcast(few), F.coalesce(texts["doc_id"], F.lit(NULL_DOC)) == few["doc_id"], "left_semi")
+            texts = texts.join(F.broadcast(few), texts["doc_id"] == few["doc_id"], "left_semi")
 
         def places(batches):
             for batch in batches:
@@ -340,12 +365,12 @@ class LineJoin:
                 if not len(keep):
                     continue
                 part = batch.take(pa.array(keep))
-                x = Lines(part.column(1), classes.value)
+                x = Lines(part.column(1), classes.value, _ids(part.column(2)))
                 doc = _ids(part.column(0))[x.doc]
                 i = np.flatnonzero(may_hold(by_place.value, _place(doc, x.number)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(x.number[i].astype(np.int32)), pa.array([x.tokens[x.first[k] : x.first[k] + x.size[k]].tobytes() for k in i], pa.binary())], ["doc", "line", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(x.number[i]), pa.array([x.tokens[x.first[k] : x.first[k] + x.size[k]].tobytes() for k in i], pa.binary())], ["doc", "line", "elements"])
 
-        sets = texts.mapInArrow(fetch, "doc long, line int, elements binary").join(ends, ["doc", "line"], "left_semi")
+        sets = texts.mapInArrow(fetch, "doc long, line long, elements binary").join(ends, ["doc", "line"], "left_semi")
         sets = written(sets, "lines")
         left = sets.withColumnRenamed("elements", "x")
         right = sets.select(F.col("doc").alias("other_doc"), F.col("line").alias("other_line"), F.col("elements").alias("y"))
@@ -361,12 +386,12 @@ class LineJoin:
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["doc", "line"])
 
         met = pairs.hint("merge").join(left.hint("merge"), ["doc", "line"]).hint("merge").join(right.hint("merge"), ["other_doc", "other_line"]).select("doc", "line", "x", "y")
-        found = written(met.mapInArrow(check, "doc long, line int").distinct(), "matched")
+        found = written(met.mapInArrow(check, "doc long, line long").distinct(), "matched")
         drop(sets, ends, pairs)
         return found
 
     def removed(self) -> DataFrame:
-        """(doc, line) of every line that an earlier one matches; null doc_ids as the smallest long."""
+        """(doc, line) of every line that an earlier one matches; places are as ``keyed`` makes them."""
         key = ["doc", "line"]
         blobs = self.docs.mapInArrow(_slice_rows(self.classes, self.percent, self.n), "b int, blob binary")
         found = written(dealt(blobs, self.n).mapInArrow(_matches(self.percent, self.n), OUT), "matches")
@@ -378,10 +403,10 @@ class LineJoin:
         def expand(batches):
             for batch in batches:
                 for d, l, blob in zip(*[c.to_pylist() for c in batch.columns]):
-                    doc, line = unpack(blob, np.int64, np.uint32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), d)), pa.array(np.full(len(doc), l, np.int32)), pa.array(doc), pa.array(line.astype(np.int32))], pair)
+                    doc, line = unpack(blob, np.int64, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), d)), pa.array(np.full(len(doc), l, np.int64)), pa.array(doc), pa.array(line)], pair)
 
-        more = written(reserve.mapInArrow(expand, "doc long, line int, other_doc long, other_line int").distinct(), "pairs")
+        more = written(reserve.mapInArrow(expand, "doc long, line long, other_doc long, other_line long").distinct(), "pairs")
         if not more.isEmpty():
             gone = gone.unionByName(self._verified(more))
         rest = written(found.filter("kind = 3").select(key).distinct().join(gone, key, "left_anti"), "rest")
@@ -397,12 +422,12 @@ class LineJoin:
 
         def fetch(batches):
             for batch in slices(batches):
-                x, ids = Lines(batch.column(1), classes.value), _ids(batch.column(0))
+                x, ids = Lines(batch.column(1), classes.value, _ids(batch.column(2))), _ids(batch.column(0))
                 at = [k for k in range(len(x.node)) if (int(ids[x.doc[k]]), int(x.number[k])) in keys]
-                yield pa.RecordBatch.from_arrays([pa.array([int(ids[x.doc[k]]) for k in at], pa.int64()), pa.array([int(x.number[k]) for k in at], pa.int32()), pa.array([x.tokens[x.first[k] : x.first[k] + x.size[k]].tobytes() for k in at], pa.binary())], ["doc", "line", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(ids[x.doc[k]]) for k in at], pa.int64()), pa.array([int(x.number[k]) for k in at], pa.int64()), pa.array([x.tokens[x.first[k] : x.first[k] + x.size[k]].tobytes() for k in at], pa.binary())], ["doc", "line", "elements"])
 
-        own = self.docs.join(few, F.coalesce(self.docs["doc_id"], F.lit(NULL_DOC)) == few["few"], "left_semi")
-        sets = [(r["doc"], r["line"], np.frombuffer(r["elements"], np.uint64)) for r in own.mapInArrow(fetch, "doc long, line int, elements binary").collect()]
+        own = self.docs.join(few, self.docs["doc_id"] == few["few"], "left_semi")
+        sets = [(r["doc"], r["line"], np.frombuffer(r["elements"], np.uint64)) for r in own.mapInArrow(fetch, "doc long, line long, elements binary").collect()]
         holders: dict[int, list[int]] = {}
         for k, (_, _, x) in enumerate(sets):
             for token in x[: len(x) + 1 + -percent * len(x) // 100].tolist():
@@ -418,7 +443,7 @@ class LineJoin:
                 if not len(some):
                     continue
                 batch = batch.take(pa.array(some))
-                x, ids = Lines(batch.column(1), classes.value), _ids(batch.column(0))
+                x, ids = Lines(batch.column(1), classes.value, _ids(batch.column(2))), _ids(batch.column(0))
                 hit = np.flatnonzero(_among(wanted, x.tokens))
                 lines = np.searchsorted(x.first, hit, "right") - 1
                 found = set()
@@ -428,9 +453,9 @@ class LineJoin:
                         common = len(np.intersect1d(x.tokens[x.first[l] : x.first[l] + x.size[l]], y, assume_unique=True))
                         if 100 * common >= percent * (int(x.size[l]) + len(y) - common):
                             found.add((doc, line))
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([l for _, l in found], pa.int32())], ["doc", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([l for _, l in found], pa.int64())], ["doc", "line"])
 
-        return written(self.docs.mapInArrow(scan, "doc long, line int").distinct(), "matched")
+        return written(self.docs.mapInArrow(scan, "doc long, line long").distinct(), "matched")
 
     def _all_of(self, rest: DataFrame) -> DataFrame:
         """All candidates of the lines in ``rest``: the entries of their elements once more."""
@@ -444,7 +469,7 @@ class LineJoin:
 
         def elements(batches):
             for batch in slices(batches):
-                x = Lines(batch.column(1), classes.value)
+                x = Lines(batch.column(1), classes.value, _ids(batch.column(2)))
                 i = np.flatnonzero(may_hold(wanted.value, _place(_ids(batch.column(0))[x.doc], x.number)))
                 length = x.size[i] - -(-percent * x.size[i] // 100) + 1
                 yield pa.RecordBatch.from_arrays([pa.array(x.tokens[np.repeat(x.first[i], length) + spread(length)].view(np.int64))], ["id"])
@@ -458,10 +483,12 @@ class LineJoin:
 
 def line_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """All rows and columns of ``docs``, the text without removed lines, plus n_lines and n_removed (lines with words)."""
-    gone = LineJoin(docs, percent).removed()
-    lists = gone.groupBy(F.col("doc").alias("_doc")).agg(F.array_sort(F.collect_set("line")).alias("_gone"))
+    join = LineJoin(docs, percent)
+    at, sub = F.col("line").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int"), F.shiftright("line", LINE_BITS)
+    lists = join.removed().groupBy(F.col("doc").alias("_doc"), sub.alias("_sub")).agg(F.array_sort(F.collect_set(at)).alias("_gone"))
     typed = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    rows = typed.join(lists, F.coalesce(typed["doc_id"], F.lit(NULL_DOC)) == F.col("_doc"), "left").withColumn("_lines", F.split("text", "\n"))
+    typed = typed.withColumns(dict(zip(("_key", "_digest"), join.key)))
+    rows = typed.join(lists, (F.col("_key") == F.col("_doc")) & (F.col("_digest") == F.col("_sub")), "left").withColumn("_lines", F.split("text", "\n"))
     kept = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")
     n_lines = F.coalesce(F.size(F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long")
     new = {"n_lines": n_lines, "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}

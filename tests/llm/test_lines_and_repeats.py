@@ -41,6 +41,14 @@ def test_line_edges(empty, odd):
     assert out.columns[:7] == odd.columns and got == sorted([(1, "", 5), (1, "", 5), (None, same, 6), (2, None, 7)], key=str)
 
 
+def test_rows_that_share_an_id(spark):
+    """A repeated first row keeps its text, and a line that repeats in one null-id row stays in the others."""
+    a, b, c = "first words of a row that stands twice\nand its second line", "alpha beta gamma\nalpha beta gamma\nrest one two", "delta epsilon zeta\neta theta iota\nkappa lambda mu"
+    df = spark.createDataFrame([(1, a), (1, a), (2, a), (None, b), (None, c), (3, "own one\nown two"), (3, "own three\nown three")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in L.line_dedup(df.repartition(3)).collect()), key=str)
+    assert got == sorted([(1, a, 0), (1, a, 0), (2, "", 2), (None, "alpha beta gamma\nrest one two", 1), (None, c, 0), (3, "own one\nown two", 0), (3, "own three", 1)], key=str)
+
+
 def brute_repeats(rows, width):
     first, out = {}, {}
     for i, t, *_ in rows:
