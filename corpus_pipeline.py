@@ -26,9 +26,13 @@ def _lengths(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter (no language) go; the rest stay as they are."""
-    found = identify(docs, docs.select("lang", "text"), carry=("text", "lang", "source", "n_chars"))
-    return found.filter("lang_pred != 'und'").select(*COLUMNS)
+    """Documents without any letter (no language) go; of the rest a null lang becomes the predicted one.
+
+    Without any lang to learn from there is no prediction: nulls stay, and so do all documents with a letter.
+    """
+    found = identify(docs, docs.select("lang", "text"), carry=("text", "lang", "source", "n_chars"), letters=True)
+    known = F.when(F.col("lang_pred") != "und", F.col("lang_pred"))
+    return found.filter("has_letter").withColumn("lang", F.coalesce("lang", known)).select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,8 +167,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, prior: np.ndarray, switch: fl
     return labels
 
 
-def identify(docs: DataFrame, training: DataFrame, carry: tuple[str, ...] = (), spans: bool = False) -> DataFrame:
-    """Each row of ``docs`` (doc_id, text): lang_pred, score and the columns to ``carry``; with ``spans`` also (lang, first word, stop)."""
+def identify(docs: DataFrame, training: DataFrame, carry: tuple[str, ...] = (), spans: bool = False, letters: bool = False) -> DataFrame:
+    """Each row of ``docs`` (doc_id, text): lang_pred, score and the columns to ``carry``; with ``spans`` also (lang, first word, stop), with ``letters`` whether the text has a letter."""
     spark = docs.sparkSession
     prepare(spark)
     known = training.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
@@ -178,12 +178,12 @@ def identify(docs: DataFrame, training: DataFrame, carry: tuple[str, ...] = (),
     model = spark.sparkContext.broadcast(train(known, langs) if langs else None)
     own = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).alias(f"c_{c}") for c in carry])
     kept = own.schema.fields[1:]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double" + (", spans array<struct<lang:string,start:int,stop:int>>" if spans else "")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double" + (", spans array<struct<lang:string,start:int,stop:int>>" if spans else "") + (", has_letter boolean" if letters else "")
 
     def each(batches):
         for batch in slices(batches, "text", 8 << 20):
             parts = list(slices(iter([batch]), "text"))
-            scores, first, letters, solid, n_words = [], [np.zeros(1, np.int64)], [], [], 0
+            scores, first, lengths, solid, n_words = [], [np.zeros(1, np.int64)], [], [], 0
             for part in parts:
                 w = Words(part.column(0), hashed=False)
                 solid.append(lettered(part.column(0).to_pylist(), w))
@@ -191,16 +191,16 @@ def identify(docs: DataFrame, training: DataFrame, carry: tuple[str, ...] = (),
                     continue
                 s = word_scores(w, model.value[0], model.value[1])
                 scores.append(s)
-                letters.append(np.where(_scripts(w) > 0, w.ends - w.starts, 0))
+                lengths.append(np.where(_scripts(w) > 0, w.ends - w.starts, 0))
                 first.append(w.first[1:] + n_words)
                 n_words += len(w.starts)
             solid = np.concatenate(solid)
             pred, score, found = ["und"] * len(solid), [0.0] * len(solid), [[] for _ in solid]
             if model.value is not None:
-                scores, first, letters = np.concatenate(scores), np.concatenate(first), np.concatenate(letters)
+                scores, first, lengths = np.concatenate(scores), np.concatenate(first), np.concatenate(lengths)
                 labels = viterbi(scores, first, model.value[2])
                 weight = np.zeros((len(solid), len(langs)))
-                np.add.at(weight, (np.repeat(np.arange(len(solid)), np.diff(first)), labels), letters)
+                np.add.at(weight, (np.repeat(np.arange(len(solid)), np.diff(first)), labels), lengths)
                 best, total = weight.argmax(1), weight.sum(1)
                 for d in np.flatnonzero(solid):
                     pred[d] = langs[best[d]]
@@ -215,7 +215,10 @@ def identify(docs: DataFrame, training: DataFrame, carry: tuple[str, ...] = (),
             if spans:
                 cols.append(pa.array(found, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))))
                 names.append("spans")
+            if letters:
+                cols.append(pa.array(solid))
+                names.append("has_letter")
             yield pa.RecordBatch.from_arrays(cols, names)
 
     out = own.mapInArrow(each, schema)
-    return out.select("doc_id", *[F.col(f"c_{c}").alias(c) for c in carry if c != "doc_id"], "lang_pred", "score", *(["spans"] if spans else []))
+    return out.select("doc_id", *[F.col(f"c_{c}").alias(c) for c in carry if c != "doc_id"], "lang_pred", "score", *(["spans"] if spans else []), *(["has_letter"] if letters else []))

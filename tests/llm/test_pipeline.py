@@ -37,6 +37,15 @@ def test_stages(spark, rows, docs, tmp_path):
     assert {(r["doc_id"], r["copies"]) for r in whole.collect()} == {(i, r["copies"]) for i, r in after.items()}
 
 
+def test_language_stage(spark):
+    """Null labels are filled; without any label only texts without a letter go."""
+    rows = [(1, "the thing other whether", "a"), (2, "que los niños llaman", "b"), (3, "other thing the whether", None), (4, "12 $$", None), (5, None, None)]
+    df = spark.createDataFrame([(i, t, l, "s", 0) for i, t, l in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = lambda d: {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, d, "").collect()}
+    assert stage(df) == {1: "a", 2: "b", 3: "a"}
+    assert stage(df.withColumn("lang", F.lit(None).cast("string"))) == {1: None, 2: None, 3: None}
+
+
 def test_registered(spark):
     import __spark_entry__ as entry
 
