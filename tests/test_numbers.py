@@ -38,6 +38,12 @@ def test_t_quantile():
     assert N.normal_two_sided_p(1.959963985) == pytest.approx(0.05)
 
 
+def test_t_interval_of_large_groups(spark):
+    df = spark.createDataFrame([(n, 0.0, 1.0) for n in (5, 201, 202, 301, 1001, 30001)], "n long, mean double, se double")
+    got = {r["n"]: r for r in stats.t_ci(df).collect()}
+    assert all(r["t_hi"] == pytest.approx(N.t_quantile(0.975, n - 1), abs=1e-8) and r["t_lo"] == -r["t_hi"] for n, r in got.items()) and len(got) == 6
+
+
 def segs(spark, rows):
     return depth.depth_bounds(spark.createDataFrame(rows, "core string, i int, thickness double, d double"), "core", ["i"], "thickness")
 
