@@ -34,23 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="strataspark-"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` (in folders ``by`` a column) to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["written_path"] = path
     return out
 
 
-def drop(*frames: DataFrame | None) -> None:
-    """Delete what ``written`` wrote for these frames; nothing lazy may depend on them any more."""
+def drop(*frames: DataFrame | None, part: str = "") -> None:
+    """Delete what ``written`` wrote for these frames (a ``part``: one folder of it); nothing lazy may depend on them any more."""
     for df in frames:
         path = df.__dict__.get("written_path") if df is not None else None
         if path:
             spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
