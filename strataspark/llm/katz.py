@@ -179,27 +179,31 @@ def _word_table(n_buckets: int):
 class Grams:
     """Distinct n-grams of a chunk: ``at`` of each token; of each n-gram its history's index ``hist``, its last word and training count here.
 
-    Of each history: its number pair (a, b), training count ``c`` in the corpus and ``own`` here, and ``below`` of the shorter history.
+    Of each history: its number pair (a, b), training count ``c`` in the corpus and ``own`` here, ``below`` of the shorter history, and ``common``, the count of b.
     """
 
-    def __init__(self, hist, word, train, n_words, a, b, c, own, lower, below):
+    def __init__(self, hist, word, train, n_words, a, b, c, own, lower, below, common):
         keys, self.at = np.unique(hist * n_words + word, return_inverse=True)
         self.hist, self.word = keys // n_words, keys % n_words
         self.seen = np.bincount(self.at[train], minlength=len(keys))
-        self.a, self.b, self.c, self.own, self.below = a, b, c, own, below
+        self.a, self.b, self.c, self.own, self.below, self.common = a, b, c, own, below, common
         self.lower = np.empty(len(keys), np.int64)  # the count that the lower order's probability rests on
         self.lower[self.at] = lower
 
     def asked(self, m: Model, word_ids: np.ndarray):
         """N-grams with a known history in the order of the messages, their buckets, and the messages' histories: starts, lengths."""
         grams = np.flatnonzero((self.c > 0)[self.hist])
-        key = _key(self.a, self.b)
         hist = self.hist[grams]
+        # by the history's last word, whose neighbours then share bytes; frequent words by the whole history, frequent histories by the n-gram
+        key = _key(np.where(self.common > m.hot, self.a, np.uint64(0)), self.b)
         spot = _bucket(key[hist], m.n)
         split = (self.c > m.hot)[hist]
         if split.any():
             spot[split] = _bucket(mix(key[hist[split]] ^ mix(word_ids[self.word[grams[split]]])), m.n)
-        order = np.argsort(spot, kind="stable")
+        by = np.lexsort((self.a, self.b))
+        rank = np.empty(len(by), np.uint32)
+        rank[by] = np.arange(len(by), dtype=np.uint32)
+        order = np.lexsort((rank[hist], spot))
         grams, spot = grams[order], spot[order]
         hist = self.hist[grams]
         new = np.flatnonzero(np.concatenate(([True], (spot[1:] != spot[:-1]) | (hist[1:] != hist[:-1])))) if len(grams) else np.zeros(0, np.int64)
@@ -235,7 +239,7 @@ class Chunk:
         before = np.concatenate(([0], self.word[:-1]))
         before[self.starts] = n
         h = np.arange(n + 1)
-        self.order2 = Grams(before, self.word, self.train, n + 1, self.word_ids, np.zeros(n + 1, np.uint64), self.count, np.bincount(before[self.train], minlength=len(h)), self.count[self.word], np.zeros(n + 1, np.uint64))
+        self.order2 = Grams(before, self.word, self.train, n + 1, np.zeros(n + 1, np.uint64), self.word_ids, self.count, np.bincount(before[self.train], minlength=len(h)), self.count[self.word], np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.int64))
 
     def _told(self, order: int) -> list[dict]:
         return sorted((r for r in self.rows if r["kind"] == TOLD + order), key=lambda r: r["b"])
@@ -291,7 +295,7 @@ class Chunk:
         later = np.ones(len(self.word), bool)
         later[self.starts] = False
         at = np.flatnonzero(later)
-        return Grams(g.at[at - 1], self.word[at], self.train[at], len(self.count), self.word_ids[g.hist], self.word_ids[g.word], r2, g.seen, r2[g.at[at]], below[g.word].astype(np.uint64)), at
+        return Grams(g.at[at - 1], self.word[at], self.train[at], len(self.count), self.word_ids[g.hist], self.word_ids[g.word], r2, g.seen, r2[g.at[at]], below[g.word].astype(np.uint64), self.count[g.word]), at
 
 
 def _asks(order: int, lm):
