@@ -81,11 +81,11 @@ def trim() -> None:
 # ---------------------------------------------------------------- blobs
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays of one length -> compressed byte planes. Planes of high bytes, mostly alike, cost little."""
     n = len(arrays[0])
     planes = [np.ascontiguousarray(a.view(np.uint8).reshape(n, a.dtype.itemsize).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(planes))
 
 
 def unpack(blob: bytes, *dtypes) -> list[np.ndarray]:

@@ -13,8 +13,8 @@ Flow (packed columns; a chunk is about ``CHUNK_BYTES`` of texts):
 2. for each order, chunks meet their answers so far and send their distinct
    n-grams with training counts to partitions by history.  These sum the
    counts (the model's table) and answer each chunk: the n-gram's count, and of
-   its history how many words follow it once, twice, ... and their lower-order
-   mass.  Discounts are the sums of all partitions' counts of counts, so
+   a history that must back off how many words follow it once, twice, ... and
+   their lower-order mass.  Discounts are the sums of all partitions' counts of counts, so
    they, and all scores, are the same under any partitioning;
 3. chunks meet all answers and evaluate the recursion token by token.
 A chunk that holds all training occurrences of a history sends them, but needs
@@ -30,6 +30,7 @@ unknown and has probability 1; a null doc_id counts as training unless
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_of, dealt, drop, mix, pack, prepare, release, runs, unpack, written
+from .common import buckets_of, dealt, drop, mix, prepare, release, runs, unpack, written
+from .common import pack as _pack
 from .textops import Words, slices
 
+pack = partial(_pack, level=3)
 K = 5
 END = np.uint64(1)
 CHUNK_BYTES = 8 << 20
@@ -219,6 +222,11 @@ def classes_of(hist, r, lower_p, n_hist) -> tuple[np.ndarray, np.ndarray]:
     return classes, np.bincount(hist, weights=np.where(r > 0, lower_p, 0.0), minlength=n_hist)
 
 
+def backs_off(r: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which histories have an n-gram that training never saw: only these need their classes and lower-order mass."""
+    return np.bincount(np.repeat(np.arange(len(lengths)), lengths)[r == 0], minlength=len(lengths)) > 0
+
+
 class Chunk:
     """A chunk's tokens with their words' numbers and counts; ``order2`` and ``order3`` as far as it has been told."""
 
@@ -262,26 +270,29 @@ class Chunk:
         m, d = self.m, self.m.d[order]
         whole = g.own == g.c
         classes, back = g.local_classes(lower_p)
-        rest = 1 - back
+        rest, full = 1 - back, classes.sum(1) == 0
         r = np.where(whole[g.hist], g.seen, 0)
-        grams, _, new, _ = g.asked(m, self.word_ids)
+        grams, _, new, length = g.asked(m, self.word_ids)
         told = self._told(order)
         if told:
-            hist, grams = g.hist[grams[new]], grams[~whole[g.hist[grams]]]
-            hist = hist[~whole[hist]]
+            hist = g.hist[grams[new]]
+            grams, length, hist = grams[~whole[g.hist[grams]]], length[~whole[hist]], hist[~whole[hist]]
             r[grams] = np.concatenate([unpack(t["x"], np.uint64)[0] for t in told]).astype(np.int64)
+            full[hist] = np.concatenate([unpack(t["z"], np.uint8)[0] for t in told]) > 0
             of = list(zip(*[unpack(t["y"], *[np.uint32] * K, np.float32) for t in told]))
-            classes[hist] = np.stack([np.concatenate(c) for c in of[:K]], 1)
-            rest[hist] = np.concatenate(of[K])
+            back_off = hist[backs_off(r[grams], length)]
+            classes[back_off] = np.stack([np.concatenate(c) for c in of[:K]], 1)
+            rest[back_off] = np.concatenate(of[K])
             keys, sums = m.split[order]
             if len(keys):
                 hot = np.unique(hist[g.c[hist] > m.hot])
                 at = np.searchsorted(keys, _key(g.a[hot], g.b[hot]))
                 classes[hot], rest[hot] = sums[at, :K], 1 - sums[at, K]
+                full[hot] = classes[hot].sum(1) == 0
         times = np.arange(1, K + 1)
         kept = classes @ (times * d[1:]) + (g.c - classes @ times)
         # a history without any discounted n-gram sets one more token aside
-        below = np.where(g.c > 0, g.c + (kept >= g.c - 1e-9), 1)
+        below = np.where(g.c > 0, g.c + full, 1)
         alpha = np.where(g.c > 0, (below - kept) / below / np.maximum(rest, 1e-15), 1.0)
         return r, np.where(r > 0, discounted(r, d) / below[g.hist], alpha[g.hist] * lower_p), below
 
@@ -346,7 +357,9 @@ def _table(order: int, lm):
             for row, head, n in zip(rows, heads, sizes):
                 open_h = head[4] < 2
                 mine, wanted = rank[at_h : at_h + len(open_h)][open_h], gram[at : at + n][np.repeat(open_h, head[3])]
-                out.append((TOLD + order, b, row["chunk"], pack(r[wanted].astype(np.uint64)), pack(*classes[mine].astype(np.uint32).T.copy(), (1 - back[mine]).astype(np.float32)), None))
+                full = (classes[mine].sum(1) == 0).astype(np.uint8)
+                mine = mine[backs_off(r[wanted], head[3][open_h])]
+                out.append((TOLD + order, b, row["chunk"], pack(r[wanted].astype(np.uint64)), pack(*classes[mine].astype(np.uint32).T.copy(), (1 - back[mine]).astype(np.float32)), pack(full)))
                 at, at_h = at + n, at_h + len(open_h)
                 if len(out) >= 64:
                     yield _batch(out)
