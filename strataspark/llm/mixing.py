@@ -1,19 +1,22 @@
 """Mixing sources to target weights by entropy balancing.
 
 Targets: each source's share of all words by its weight, at most ``cap`` times
-its size, the excess dealt again by weight until none is above.  Rates: the
-mix closest in relative entropy (per word) to one copy of everything, subject
-to one word total per source and at most ``cap`` copies.  Its convex dual has
-one multiplier per source, S(exp(l) - 1) - T l, solved by Newton's method for
-all sources at once, as a column expression over the distributed source table;
-a document's rate is exp(l), the exponential tilt of its unit weight.  Rates
+its size, the excess dealt again by weight until none is above.  Rates: of all
+document rates between 0 and ``cap`` that meet each source's word total, those
+closest in relative entropy to one copy of every document, sum of
+r log r - r + 1.  The convex dual has one multiplier a source; a document of x
+mean sizes has the rate min(cap, exp(l x)), its tilted unit weight.  Newton's
+method solves the dual for all sources at once: a step is one aggregate of the
+documents' gradient and curvature (documents of one source and size are added
+up once, before), kept in a bracket where the cap bends the dual.  Sums are in
+fixed point, so they are the same under any partitioning.  Rates
 become copies by error diffusion: within cells of a source, long documents
 first, the words owed are carried from document to document, so a cell ends
 within half of its last, short documents of its target.
 
 Defined cases: a null source is a source of its own, last in order; null and
 empty texts have size 0 and take 0; repeated rows count each; an empty table
-gives an empty mix; sources of size 0 have target 0.
+gives an empty mix; sources of size 0 have target and rate 0.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, prepare, written
+from .common import drop, partitions, prepare, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELL_ROWS = 1000
+#: Newton steps at most, the relative error of a source's words that ends them, and the unit of fixed-point sums.
+STEPS, TOLERANCE, FIXED = 80, 1e-7, 1 << 30
 BROADCAST_SOURCES = 50_000
 
 
@@ -67,15 +72,35 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: flo
     return table.withColumn("target", F.least(F.col("source_size") * cap, F.col("weight") * level)).drop("rank")
 
 
-def tilt(size: Column, target: Column, steps: int = 60) -> Column:
-    """The multiplier l with size * exp(l) = target, by Newton steps from 0 (at most one unit down at a time, as the dual's curvature gives)."""
+def tilted(l: Column, size: Column, unit: Column, cap: float) -> Column:
+    """The rate of a document by its source's multiplier (per ``unit`` of size); null stands for an infinite one."""
+    return F.when(l.isNull(), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(l * size / unit, F.lit(700.0)))))
 
-    def step(l: Column, _: Column) -> Column:
-        mass = size * F.exp(l)
-        return l - (mass - target) / mass
 
-    start = F.when((size > 0) & (target > 0), F.lit(0.0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+def multipliers(sizes: DataFrame, sources: DataFrame, cap: float, small: bool) -> DataFrame:
+    """(key, size, n) documents, (key, source_size, rows, target) -> adds ``unit`` and ``l``; each Newton step is one aggregate over the documents."""
+    x = F.col("size") / F.col("unit")
+    rate = tilted(F.col("l"), F.col("size"), F.col("unit"), cap)
+    fixed = lambda v: F.round(v * FIXED).cast("decimal(20,0)") * (F.col("n") * F.col("size")).cast("decimal(18,0)")
+    state = sources.withColumn("unit", F.col("source_size") / F.col("rows")).withColumn("open", (F.col("target") > 0) & (F.col("target") < cap * F.col("source_size") * (1 - 1e-12)))
+    state = written(state.withColumn("l", F.when(F.col("open"), F.lit(0.0))).withColumn("lo", F.lit(-math.inf)).withColumn("hi", F.lit(math.inf)), "duals")
+    for _ in range(STEPS):
+        now = state.filter("open").select("key", "unit", "l")
+        if now.isEmpty():
+            break
+        sums = sizes.join(F.broadcast(now) if small else now, "key").groupBy("key").agg((F.sum(fixed(rate)) / FIXED).cast("double").alias("mass"), (F.sum(fixed(F.when(rate < cap, x * rate).otherwise(0.0))) / FIXED).cast("double").alias("slope"))
+        over = F.col("mass") > F.col("target")
+        lo, hi = F.when(over, F.col("lo")).otherwise(F.col("l")), F.when(over, F.col("l")).otherwise(F.col("hi"))
+        # on the logarithm of the mass, which is nearly straight; at most 2 + |l| at a time
+        step = F.when((F.col("slope") > 0) & (F.col("mass") > 0), F.col("mass") * F.log(F.col("target") / F.col("mass")) / F.col("slope")).otherwise(F.when(over, F.lit(-math.inf)).otherwise(F.lit(math.inf)))
+        most = F.abs("l") + 2
+        to = F.col("l") + F.greatest(-most, F.least(most, step))
+        to = F.when((to > F.col("lo")) & (to < F.col("hi")), to).otherwise((F.col("lo") + F.col("hi")) / 2)
+        met = state.join(sums, "key", "left").withColumn("lo", F.when(F.col("open"), lo).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("open"), hi).otherwise(F.col("hi")))
+        met = met.withColumn("open", F.col("open") & (F.abs(F.col("mass") - F.col("target")) > TOLERANCE * F.col("target")))
+        before, state = state, written(met.withColumn("l", F.when(F.col("open"), to).otherwise(F.col("l"))).drop("mass", "slope"), "duals")
+        drop(before)
+    return state.select("key", "source_size", "rows", "target", "unit", "l")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3, share: float = 1.0, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -88,13 +113,17 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: in
     if not carry:
         sized = base = written(sized, "sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), weights, cap, share)
-    rate = F.least(F.lit(float(cap)), F.coalesce(F.exp(tilt(F.col("source_size"), F.col("target"))), F.lit(0.0)))
     key = lambda c: F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c))
-    sources = written(sources.select(key(F.col("source")).alias("key"), "source_size", "rows", "target", rate.alias("rate")), "rates")
-    if sources.count() <= BROADCAST_SOURCES:
-        sources = F.broadcast(sources)
+    sources = written(sources.select(key(F.col("source")).alias("key"), "source_size", "rows", "target"), "targets")
+    small = sources.count() <= BROADCAST_SOURCES
+    sizes = written(sized.filter("size > 0").groupBy(key(F.col("source")).alias("key"), "size").agg(F.count("*").alias("n")), "size-counts")
+    solved = multipliers(sizes, sources, float(cap), small)
+    drop(sizes, sources)
+    if small:
+        solved = F.broadcast(solved)
+    rate = F.when(F.col("target") > 0, tilted(F.col("l"), F.col("size"), F.col("unit"), float(cap))).otherwise(F.lit(0.0))
     cells = F.greatest(F.lit(1), F.ceil(F.col("rows") / CELL_ROWS))
-    rows = base.withColumn("key", key(F.col("source"))).join(sources, "key").withColumn("cell", F.pmod(F.xxhash64("doc_id", "size"), cells)).drop("rows")
+    rows = base.withColumn("key", key(F.col("source"))).join(solved, "key").withColumn("rate", rate).drop("l", "unit").withColumn("cell", F.pmod(F.xxhash64("doc_id", "size"), cells)).drop("rows")
     n = max(partitions(spark), 1)
     rows = rows.repartition(n, "key", "cell").sortWithinPartitions("key", "cell", F.desc("size"), "doc_id")
     schema = pa.schema([("copies", pa.int32())])

@@ -211,6 +211,15 @@ def test_mixing(docs, rows, empty, odd):
     for s in names:
         longest = max(len(words(t)) for _, t, _, x, _ in rows if x == s)
         assert abs(taken[s] - target[s]) <= max(0.05 * target[s], longest / 2)
+    # the dual's solution, by bisection
+    for s in names:
+        x = np.array([len(words(t)) for _, t, _, y, _ in rows if y == s]) / (size[s] / sum(y == s for _, _, _, y, _ in rows))
+        lo, hi = -500.0, 500.0
+        for _ in range(200):
+            l = (lo + hi) / 2
+            lo, hi = (l, hi) if (x * np.minimum(3, np.exp(np.minimum(l * x, 700)))).sum() * size[s] < target[s] * x.sum() else (lo, l)
+        assert sorted(r["rate"] for r in got if r["source"] == s) == pytest.approx(sorted(np.minimum(3, np.exp(np.minimum(lo * x, 700)))), abs=1e-5)
+    assert any(len({round(r["rate"], 6) for r in got if r["source"] == s}) > 5 for s in names)
     again = {r["doc_id"]: r["taken"] for r in mix_sources(docs.repartition(7)).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in got}
     assert mix_sources(empty).collect() == [] and len(mix_sources(odd).collect()) == 4
