@@ -109,3 +109,11 @@ def last_two_direction(df: DataFrame, core: str, order: list[str], value: str) -
     w = Window.partitionBy(core).orderBy(*[F.desc(c) for c in order])
     last = df.select(core, F.row_number().over(w).alias("r"), value).filter("r <= 2").groupBy(core).agg(F.max(F.when(F.col("r") == 1, F.col(value))).alias("last"), F.max(F.when(F.col("r") == 2, F.col(value))).alias("before"))
     return last.withColumn("direction", F.when(F.col("before").isNull(), "single").when(F.col("last") > F.col("before"), "rising").when(F.col("last") < F.col("before"), "falling").otherwise("level"))
+
+
+def naive_audit(prior: DataFrame, stocks: DataFrame, cores: DataFrame, core: str, naive: str, stock: str, covered: str, lon: str) -> DataFrame:
+    """An earlier table's naive sums beside properly integrated stocks: both longitudes, both totals, their ratio (NULL over 0) and the core's length. Every prior row stays."""
+    own = stocks.select(core, F.col(stock).alias("proper_stock"), F.col(covered).alias("core_length"))
+    place = cores.groupBy(core).agg(F.first(lon).alias("our_lon"))
+    out = prior.select(core, F.col(lon).alias("prior_lon"), F.col(naive).alias("naive_sum")).join(own, core, "left").join(place, core, "left")
+    return out.withColumn("ratio", F.try_divide("proper_stock", "naive_sum"))

@@ -69,3 +69,15 @@ def single_row_groups(df: DataFrame, group: str, name: str = "single") -> DataFr
 def tally(df: DataFrame, flags: str) -> DataFrame:
     """flag, n_rows, most frequent first."""
     return df.select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count("*").alias("n_rows")).orderBy(F.desc("n_rows"), "flag")
+
+
+def index_absent(df: DataFrame, sample: str, group: str, index: str = "seg_index", flag: str = "index_absent") -> DataFrame:
+    """Adds the sample id's trailing number and whether it is absent; an absent one is 1 in a group of one row, and fatal in any other."""
+    from ..functions.numeric import trailing_int
+    from .gates import GateError
+
+    out = df.withColumn(index, trailing_int(sample)).withColumn(flag, F.col(index).isNull())
+    bad = out.groupBy(group).agg(F.count("*").alias("n"), F.max(F.when(F.col(flag), F.col(sample))).alias("sample")).filter("n > 1 and sample is not null").orderBy(group).first()
+    if bad is not None:
+        raise GateError("the order of segments is unknown", f"sample {bad['sample']} has no trailing number, and its core {bad[group]} has {bad['n']} segments", remedy="take the order from the field records")
+    return out.withColumn(index, F.coalesce(F.col(index), F.lit(1)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import METRES_PER_DEGREE, Lcc
-from ..functions.numeric import col
+from ..functions.numeric import finite, col
 
 
 @dataclass(frozen=True)
@@ -164,3 +164,14 @@ def distance_to_mask(raster: DataFrame, mask: str, cell_m: float, most_cells: in
     line = g.groupBy("row").agg(F.collect_list(F.when(F.col("_g").isNotNull(), F.struct("col", "_g"))).alias("_line"))
     best = F.array_min(F.transform("_line", lambda k: k["_g"] * k["_g"] + (k["col"] - F.col("col")) * (k["col"] - F.col("col"))))
     return g.join(line, "row").withColumn("distance_m", F.sqrt(best) * cell_m).drop("_g", "_line")
+
+
+def sentinel_to_null(df: DataFrame, columns: list[str], sentinel: float = -9999.0) -> DataFrame:
+    """Samples of masked pixels, marked by a sentinel so that their points stay, become NULL; so do values that aren't finite."""
+    return df.withColumns({c: F.when(F.abs(F.col(c) - sentinel) >= 1e-6, finite(c)) for c in columns})
+
+
+def verify_raster(px: DataFrame, epsg: int, value: str = "z") -> DataFrame:
+    """One row on what landed: rows, columns, layers, code, mean and whether every pixel is missing."""
+    out = px.agg((F.max("row") + 1).alias("ny"), (F.max("col") + 1).alias("nx"), F.avg(finite(value)).alias("mean"))
+    return out.select(F.coalesce("ny", F.lit(0)).alias("ny"), F.coalesce("nx", F.lit(0)).alias("nx"), F.lit(1).alias("layers"), F.lit(f"EPSG:{epsg}").alias("code"), "mean", F.col("mean").isNull().alias("all_missing"))

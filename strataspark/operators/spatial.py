@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, bearing_of, haversine_km, to_local
@@ -29,40 +30,54 @@ def nearest_of(points: list[tuple], lon: Column | str, lat: Column | str) -> Col
     return F.least(*all_) if len(all_) > 1 else all_[0]
 
 
-def _cells(df: DataFrame, lon: str, lat: str, step: float, spread: bool) -> DataFrame:
-    """Cell columns; with ``spread`` each row goes to its cell and the eight around it."""
-    x, y = F.floor(F.col(lon) / step), F.floor(F.col(lat) / step)
+def _cells(df: DataFrame, lon: str, lat: str, step: float, columns: int, spread: bool) -> DataFrame:
+    """Cell columns, round the globe; with ``spread`` each row goes to its cell and the eight around it."""
+    x, y = F.floor((F.col(lon) + 180) * (columns / 360)), F.floor(F.col(lat) / step)
+    n = F.lit(columns)
     if not spread:
-        return df.withColumns({"_cx": x, "_cy": y})
-    around = F.array(*[F.struct((x + i).alias("_cx"), (y + j).alias("_cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        return df.withColumns({"_cx": F.pmod(x, n), "_cy": y})
+    around = F.array_distinct(F.array(*[F.struct(F.pmod(x + i, n).alias("_cx"), (y + j).alias("_cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     return df.withColumn("_cell", F.explode(around)).select("*", "_cell.*").drop("_cell")
 
 
-def distance_join(left: DataFrame, right: DataFrame, radius_km: float, lon="lon", lat="lat", rlon="rlon", rlat="rlat", max_lat: float = 80.0) -> DataFrame:
-    """Pairs within ``radius_km``, with ``d``. Cells are wide enough up to ``max_lat`` degrees of latitude; no wrap at 180 degrees."""
-    step = radius_km / (_KM_PER_DEGREE * math.cos(math.radians(max_lat))) * 1.0001
-    a, b = _cells(left, lon, lat, step, False), _cells(right, rlon, rlat, step, True)
+def distance_join(left: DataFrame, right: DataFrame, radius_km: float, lon="lon", lat="lat", rlon="rlon", rlat="rlat", max_lat: float | None = None) -> DataFrame:
+    """Pairs within ``radius_km``, with ``d``, at any place on the globe, the 180th meridian and the poles included.
+
+    Cells are a radius high, and wide enough at the largest latitude of the left
+    side (``max_lat``; one small aggregate unless given).
+    """
+    step = radius_km / _KM_PER_DEGREE * 1.0001
+    if max_lat is None:
+        max_lat = left.agg(F.max(F.abs(F.col(lat)))).first()[0] or 0.0
+    # half the widest meridian angle that a circle of this radius spans at that latitude
+    reach = math.radians(min(step, 180.0))
+    sine = math.sin(reach) / max(math.cos(math.radians(max_lat)), 1e-12) if reach < math.pi / 2 else 2.0
+    width = math.degrees(math.asin(sine)) * 1.0001 if sine < 1 and max_lat + step < 90 else 360.0
+    columns = max(1, math.floor(360 / width))
+    a, b = _cells(left, lon, lat, step, columns, False), _cells(right, rlon, rlat, step, columns, True)
     return a.join(b, ["_cx", "_cy"]).withColumn("d", haversine_km(lon, lat, rlon, rlat)).filter(F.col("d") <= radius_km).drop("_cx", "_cy")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, key: str, rid: str, start_km: float = 1.0, lon="lon", lat="lat", rlon="rlon", rlat="rlat", max_lat: float = 80.0, growth: float = 4.0) -> DataFrame:
-    """Adds the nearest right row (rid, d) to each left key; ties: the smallest rid.
+def nearest_join(left: DataFrame, right: DataFrame, key: str, rid: str, start_km: float = 1.0, lon="lon", lat="lat", rlon="rlon", rlat="rlat", max_lat: float | None = None, growth: float = 4.0, others: bool = False) -> DataFrame:
+    """Adds the nearest right row (rid, d) to each left key; ties: the smallest rid. With ``others`` a row is not its own neighbour.
 
     Rings grow until every left row has a neighbour within the ring's radius;
-    each round joins on cells and only the rows that are left go on.
+    each round joins on cells, its result is kept on disk, and only the rows
+    that are left go on.
     """
     todo, done, radius = left, None, start_km
     rights = right.select(F.col(rid).alias("_rid"), F.col(rlon).alias("rlon"), F.col(rlat).alias("rlat"))
     half = math.pi * EARTH_KM
     while True:
-        if radius * 8 >= half:  # the last rows, far from everything: the right side's extent is one cell
-            best = _extent_nearest(todo, rights, key, lon, lat)
-        else:
-            near = distance_join(todo.select(key, F.col(lon).alias("lon"), F.col(lat).alias("lat")), rights, radius, max_lat=max_lat)
-            best = near.groupBy(key).agg(F.min(F.struct("d", "_rid")).alias("m"))
+        at = todo.select(key, F.col(lon).alias("lon"), F.col(lat).alias("lat"))
+        last = radius * 8 >= half
+        near = _extent_pairs(at, rights) if last else distance_join(at, rights, radius, max_lat=max_lat)
+        if others:
+            near = near.filter(F.col(key) != F.col("_rid"))
+        best = near.groupBy(key).agg(F.min(F.struct("d", "_rid")).alias("m")).persist(StorageLevel.DISK_ONLY)
         found = todo.join(best, key).withColumns({rid: F.col("m._rid"), "d": F.col("m.d")}).drop("m")
         done = found if done is None else done.unionByName(found)
-        if radius * 8 >= half:
+        if last:
             return done
         todo = todo.join(best.select(key), key, "left_anti")
         if todo.isEmpty():
@@ -70,9 +85,71 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, rid: str, start_km
         radius *= growth
 
 
-def _extent_nearest(todo: DataFrame, rights: DataFrame, key: str, lon: str, lat: str) -> DataFrame:
-    met = todo.select(key, F.col(lon).alias("lon"), F.col(lat).alias("lat"), F.lit(0).alias("_z")).join(rights.withColumn("_z", F.lit(0)), "_z")
-    return met.groupBy(key).agg(F.min(F.struct(haversine_km("lon", "lat", "rlon", "rlat").alias("d"), "_rid")).alias("m"))
+def _extent_pairs(at: DataFrame, rights: DataFrame, blocks: int = 64) -> DataFrame:
+    """The last rows, far from everything, against all of the right side, which is dealt over ``blocks`` tasks."""
+    spread = at.withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return spread.join(rights.withColumn("_z", F.pmod(F.xxhash64("_rid"), F.lit(blocks)).cast("int")), "_z").withColumn("d", haversine_km("lon", "lat", "rlon", "rlat"))
+
+
+def median_neighbour_km(df: DataFrame, key: str, lon="lon", lat="lat", alone: float = 5.0) -> float:
+    """Median distance of rows to their nearest other row; ``alone`` under two rows."""
+    points = df.select(key, F.col(lon).alias("lon"), F.col(lat).alias("lat"))
+    near = nearest_join(points, points.select(F.col(key).alias("_o"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat")), key, "_o", others=True)
+    found = near.agg(F.percentile("d", F.lit(0.5))).first()[0]
+    return alone if found is None else found
+
+
+def buffered_bbox(df: DataFrame, bbox: tuple[float, float, float, float], km: float, lon="lon", lat="lat") -> DataFrame:
+    """One row xmin, ymin, xmax, ymax: the box grown to hold every point with ``km`` around it (degrees of 111.32 km)."""
+    x, y = km / 111.32 / F.cos(F.radians(F.avg(lat))), km / 111.32
+    return df.agg(F.least(F.lit(bbox[0]), F.min(lon) - x).alias("xmin"), F.least(F.lit(bbox[1]), F.min(lat) - y).alias("ymin"), F.greatest(F.lit(bbox[2]), F.max(lon) + x).alias("xmax"), F.greatest(F.lit(bbox[3]), F.max(lat) + y).alias("ymax"))
+
+
+def bounding_box(df: DataFrame, x: str, y: str, group: list[str] | None = None) -> DataFrame:
+    return df.groupBy(*(group or [])).agg(F.min(x).alias("xmin"), F.min(y).alias("ymin"), F.max(x).alias("xmax"), F.max(y).alias("ymax"))
+
+
+def buffered_ring(hull_: list[tuple[float, float]], distance: float, arc: int = 8) -> list[tuple[float, float]]:
+    """A convex counter-clockwise ring grown by ``distance``: edges move out, corners become arcs of ``arc`` steps. Closed."""
+    out, n = [], len(hull_)
+    for k in range(n):
+        (xa, ya), (x, y), (xb, yb) = hull_[k - 1], hull_[k], hull_[(k + 1) % n]
+        start = math.atan2(y - ya, x - xa) - math.pi / 2 if n > 1 else 0.0
+        turn = (math.atan2(yb - y, xb - x) - math.pi / 2 - start) % (2 * math.pi) if n > 1 else 2 * math.pi
+        out += [(x + distance * math.cos(start + turn * j / arc), y + distance * math.sin(start + turn * j / arc)) for j in range(arc + 1)]
+    return [*out, out[0]]
+
+
+def hex_grid(spark: SparkSession, bbox: tuple[float, float, float, float], size: float) -> DataFrame:
+    """(q, r, x, y, ring) of all pointy-top hexagons, ``size`` between centres, whose centre lies in the box."""
+    xmin, ymin, xmax, ymax = bbox
+    row, radius = size * math.sqrt(3) / 2, size / math.sqrt(3)
+    r0, r1 = math.ceil(ymin / row), math.floor(ymax / row)
+    rows = spark.range(r0, r1 + 1).select(F.col("id").alias("r")) if r1 >= r0 else spark.range(0).select(F.col("id").alias("r"))
+    q0, q1 = F.ceil(F.lit(xmin / size) - F.col("r") / 2), F.floor(F.lit(xmax / size) - F.col("r") / 2)
+    cells = rows.withColumns({"q0": q0, "q1": q1}).filter("q1 >= q0").select("r", F.explode(F.sequence("q0", "q1")).alias("q"))
+    cells = cells.select("q", "r", ((F.col("q") + F.col("r") / 2) * size).alias("x"), (F.col("r") * row).alias("y"))
+    corner = [(radius * math.cos(math.radians(60 * k + 30)), radius * math.sin(math.radians(60 * k + 30))) for k in (0, 1, 2, 3, 4, 5, 0)]
+    return cells.withColumn("ring", F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in corner]))
+
+
+def compare_projections(df: DataFrame, x1: str, y1: str, x2: str, y2: str) -> DataFrame:
+    """Adds offset_m, the distance between two projections of a point."""
+    return df.withColumn("offset_m", F.hypot(F.col(x1) - F.col(x2), F.col(y1) - F.col(y2)))
+
+
+def pair_cloud(df: DataFrame, key: str, lon="lon", lat="lat", value: str | None = None, blocks: int = 16) -> DataFrame:
+    """All unordered pairs (a < b) at any distance, with d and, for a value, the semivariance.
+
+    The cloud is quadratic by definition, for frames of cores; rows are dealt
+    into blocks and every two blocks meet once, so no task holds the table.
+    """
+    cols = [F.col(key).alias("k"), F.col(lon).alias("lon"), F.col(lat).alias("lat"), (F.col(value) if value else F.lit(None)).cast("double").alias("v")]
+    rows = df.select(*cols).withColumn("i", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    left = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = rows.select(F.col("k").alias("rk"), F.col("lon").alias("rlon"), F.col("lat").alias("rlat"), F.col("v").alias("rv"), F.col("i").alias("j"))
+    out = left.join(right, "j").filter("k < rk").withColumn("d", haversine_km("lon", "lat", "rlon", "rlat")).withColumn("gamma", F.pow(F.col("v") - F.col("rv"), F.lit(2)) / 2)
+    return out.select(F.col("k").alias("a"), F.col("rk").alias("b"), "d", *(["gamma"] if value else []))
 
 
 def pairs_within(df: DataFrame, key: str, radius_km: float, lon="lon", lat="lat", value: str | None = None) -> DataFrame:

@@ -44,22 +44,34 @@ def t_ci(stats: DataFrame, conf: float = 0.95, most: int | None = None) -> DataF
     return out.withColumns({"t_lo": F.col("mean") - F.col("t") * F.col("se"), "t_hi": F.col("mean") + F.col("t") * F.col("se"), "trustworthy": F.col("n") >= TRUSTED_N}).drop("t")
 
 
-def bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: list[str], replicates: int, conf: float = 0.95, seed: int = 1) -> DataFrame:
-    """Percentile bootstrap of the mean.
-
-    Draw k of replicate r takes row (r * 7919 + k * 104729 + seed) mod n of its
-    group, in ``order``: a fixed generator that any engine repeats.  Rows are
-    numbered within groups; replicates are an exploded sequence joined to the
-    numbered rows on (group, number), so means are taken by partial aggregates.
+def bootstrap_ci(df: DataFrame, keys: list[str], value: str, order: list[str], replicates: int = 10_000, conf: float = 0.95, seed: int = 1) -> DataFrame:
+    """n, mean and percentile bootstrap interval of the mean by group; NULL bounds under two values.
+
+    Draw k of replicate r takes the row (MD5 of "keys:r:k:seed", its first 15
+    hex digits) mod n of its group, in ``order``: a generator that any engine
+    repeats.  Rows are numbered within groups; replicates are an exploded
+    sequence joined to the numbered rows on (group, number), so means are taken
+    by partial aggregates.
     """
     x = df.select(*keys, *[c for c in order if c not in keys], finite(value).alias("_v")).filter("_v is not null")
     numbered = x.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).select(*keys, "_i", "_v")
-    sizes = numbered.groupBy(*keys).agg(F.count("*").alias("_n"))
-    draws = sizes.select(*keys, "_n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep")).select(*keys, "_n", "_rep", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_k"))
-    drawn = draws.withColumn("_i", F.pmod(F.col("_rep").cast("long") * 7919 + F.col("_k").cast("long") * 104729 + seed, F.col("_n")).cast("int"))
+    sizes = numbered.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
+    draws = sizes.filter("n > 1").select(*keys, "n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep")).select(*keys, "n", "_rep", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_k"))
+    name = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.col("_rep").cast("string"), F.col("_k").cast("string"), F.lit(str(seed)))
+    drawn = draws.withColumn("_i", (F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long") % F.col("n")).cast("int"))
     means = drawn.join(numbered, [*keys, "_i"]).groupBy(*keys, "_rep").agg(F.avg("_v").alias("_m"))
     a = (1 - conf) / 2
-    return means.groupBy(*keys).agg(F.percentile("_m", F.lit(a)).alias("boot_lo"), F.percentile("_m", F.lit(1 - a)).alias("boot_hi"))
+    bounds = means.groupBy(*keys).agg(F.percentile("_m", F.lit(a)).alias("boot_lo"), F.percentile("_m", F.lit(1 - a)).alias("boot_hi"))
+    return sizes.join(bounds, keys, "left").withColumn("trustworthy", F.col("n") >= TRUSTED_N)
+
+
+def _balanced(steps: DataFrame, n: int = 1024) -> DataFrame:
+    """Adds ``b``, an ordered bucket of distinct values ``v`` with about as many in each: edges are quantiles, at most ``n``."""
+    from pyspark.ml.feature import Bucketizer
+
+    edges = steps.agg(F.percentile_approx("v", [k / n for k in range(1, n)], 10 * n)).first()[0] or []
+    splits = [-float("inf"), *sorted(set(edges)), float("inf")]
+    return Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(steps) if len(splits) > 2 else steps.withColumn("b", F.lit(0.0))
 
 
 def stratified(stats: DataFrame, weights: dict, key: str) -> DataFrame:
@@ -88,9 +100,8 @@ def ecdf(values: DataFrame, value: str, reference: DataFrame, ref: str) -> DataF
     """
     both = values.select(finite(value).alias("v"), F.lit(0).alias("n")).groupBy("v").agg(F.sum("n").alias("n")).unionByName(reference.select(finite(ref).alias("v"), F.lit(1).alias("n")).groupBy("v").agg(F.sum("n").alias("n")))
     steps = both.filter("v is not null").groupBy("v").agg(F.sum("n").alias("n"))
-    # counts by coarse bucket first, so the running sum inside a bucket is a bounded window
-    edges = F.broadcast(steps.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total")))
-    b = steps.join(edges).withColumn("b", F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * 1024), F.lit(0)))
+    # counts by balanced bucket first, so the running sum inside a bucket is a bounded window
+    b = _balanced(steps).join(F.broadcast(steps.agg(F.sum("n").alias("total"))))
     before = b.groupBy("b").agg(F.sum("n").alias("m")).withColumn("before", F.sum("m").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
     within = F.sum("n").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     done = b.withColumn("within", within).join(F.broadcast(before), "b").select("v", (100 * F.try_divide(F.coalesce("before", F.lit(0)) + F.col("within"), F.col("total"))).alias("pct"))
@@ -98,14 +109,13 @@ def ecdf(values: DataFrame, value: str, reference: DataFrame, ref: str) -> DataF
 
 
 def rank_sum(df: DataFrame, group: str, value: str, first, second) -> DataFrame:
-    """Wilcoxon rank sum of two groups: n1, n2, U of the first, z with tie and continuity correction, P(X>Y) + P(=)/2.
+    """Wilcoxon rank sum of two groups: n1, n2, U of the first, z with tie and continuity correction, its two-sided normal p, P(X>Y) + P(=)/2.
 
     Ties share one row with their counts, so the ranking runs over distinct values.
     """
     x = df.filter(col(group).isin(first, second)).select((col(group) == first).alias("a"), finite(value).alias("v")).filter("v is not null")
     steps = x.groupBy("v").agg(F.count_if("a").alias("n1"), F.count_if(~F.col("a")).alias("n2")).withColumn("t", F.col("n1") + F.col("n2"))
-    edges = F.broadcast(steps.agg(F.min("v").alias("lo"), F.max("v").alias("hi")))
-    b = steps.join(edges).withColumn("b", F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * 1024), F.lit(0)))
+    b = _balanced(steps)
     before = b.groupBy("b").agg(F.sum("t").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.sum("t").over(Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     ranked = b.withColumn("within", within).join(F.broadcast(before), "b").withColumn("rank", F.col("before") + F.col("within") - F.col("t") + (F.col("t") + 1) / 2)
@@ -115,18 +125,27 @@ def rank_sum(df: DataFrame, group: str, value: str, first, second) -> DataFrame:
     u = F.col("r1") - n1 * (n1 + 1) / 2
     gap = u - n1 * n2 / 2
     sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - safe_div(F.col("ties"), n * (n - 1))))
-    return s.select("n1", "n2", u.alias("u"), safe_div(gap - F.signum(gap) * 0.5, sigma).alias("z"), safe_div(u, n1 * n2).alias("cles"))
+    z = safe_div(gap - F.signum(gap) * 0.5, sigma)
+    return s.select("n1", "n2", u.alias("u"), z.alias("z"), (2 * normal_tail(F.abs(z))).alias("p"), safe_div(u, n1 * n2).alias("cles"))
+
+
+def normal_tail(z: Column) -> Column:
+    """P(Z > z) for z >= 0: a positive-term series below 3, a continued fraction of fixed depth beyond."""
+    density = F.exp(-z * z / 2) / (2 * 3.141592653589793) ** 0.5
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(z.alias("t"), z.alias("s")), lambda a, k: F.struct((a["t"] * z * z / (2 * k + 1)).alias("t"), (a["s"] + a["t"] * z * z / (2 * k + 1)).alias("s")))
+    fraction = F.aggregate(F.reverse(F.sequence(F.lit(1), F.lit(60))), z, lambda a, k: z + k / a)
+    return F.when(z.isNull(), F.lit(None).cast("double")).when(z < 3, 0.5 - density * terms["s"]).otherwise(density / fraction)
 
 
 def metrics(df: DataFrame, keys: list[str], observed: str, predicted: str) -> DataFrame:
-    """rmse, mae, bias, r2_cv, n, n_obs, n_predicted, coverage; sums over the same finite pairs. r2_cv is NULL under two pairs or without spread."""
+    """rmse, mae, bias, r2_cv, skill_null, n, n_obs, n_predicted (finite pairs), coverage; sums over the same finite pairs. r2_cv is NULL under two pairs or without spread; skill_null compares with the pairs' mean."""
     o, p = finite(observed), finite(predicted)
     both = o.isNotNull() & p.isNotNull()
     x = df.select(*keys, o.alias("o"), p.alias("p"), F.when(both, p - o).alias("e"), F.when(both, o).alias("ob"))
     n = F.count("e")
     sse = F.sum(F.col("e") * F.col("e"))
     sst = F.var_pop("ob") * n
-    return x.groupBy(*keys).agg(n.alias("n"), F.count("o").alias("n_obs"), F.count("p").alias("n_predicted"), F.sqrt(safe_div(sse, n)).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.avg("e").alias("bias"), F.when((n >= 2) & (sst > 0), 1 - safe_div(sse, sst)).alias("r2_cv"), safe_div(n, F.count("o")).alias("coverage"))
+    return x.groupBy(*keys).agg(n.alias("n"), F.count("o").alias("n_obs"), n.alias("n_predicted"), F.sqrt(safe_div(sse, n)).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.avg("e").alias("bias"), F.when((n >= 2) & (sst > 0), 1 - safe_div(sse, sst)).alias("r2_cv"), F.when(sst > 0, 1 - F.sqrt(safe_div(sse, sst))).alias("skill_null"), safe_div(n, F.count("o")).alias("coverage"))
 
 
 def skill(rmse: Column | str, reference: Column | str) -> Column:
@@ -197,7 +216,7 @@ def variogram(pairs: DataFrame, distance: str, gamma: str, bins: int = 5, inform
 
 
 def excluded(df: DataFrame, keys: list[str], core: str, flag: str) -> DataFrame:
-    """Per key: how many cores are excluded and a sorted digest list of at most 20 of them."""
+    """Per key: how many cores are excluded and a sorted list of them."""
     x = df.filter(flag).groupBy(*keys).agg(F.count("*").alias("n_excluded"), F.array_sort(F.collect_list(core)).alias("ids"))
     return x.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ";"))
 

@@ -266,3 +266,21 @@ SELECT stratum, CASE WHEN min(gap) <= 0.02 THEN arg_min(name, (gap, name)) ELSE
 def name_factor(spark, sf):
     fit = stats.origin_regression(segments(spark, sf), "stratum", "om", "soc")
     return fit.select("stratum", gates.name_factor("b", {"a": 0.5, "b": 0.58, "c": 0.95}, 0.02).alias("name"))
+
+
+@query("naive_audit", SEG + """, prior AS (SELECT core_id, sum(density) AS naive, CAST(-core_id % 90 AS DOUBLE) AS lon FROM s GROUP BY 1), own AS (SELECT core_id, sum(density * thickness) AS stock, sum(thickness) AS covered FROM s GROUP BY 1)
+SELECT core_id, lon AS prior_lon, lon / 2 AS our_lon, round(naive, 6) AS naive_sum, round(stock, 6) AS proper_stock, covered AS core_length, round(CASE WHEN naive <> 0 THEN stock / naive END, 6) AS ratio FROM prior JOIN own USING (core_id)""")
+def naive_audit(spark, sf):
+    s = segments(spark, sf)
+    lon = F.expr("cast(-core_id % 90 as double)")
+    prior = s.groupBy("core_id").agg(F.sum("density").alias("naive")).withColumn("lon", lon)
+    own = depth.integrate(s, ["core_id"], "density", 0.0, 1e6)
+    out = depth.naive_audit(prior, own, prior.select("core_id", (F.col("lon") / 2).alias("lon")), "core_id", "naive", "stock", "covered", "lon")
+    return rounded(out, 6, "naive_sum", "proper_stock", "ratio")
+
+
+@query("index_absent", "SELECT 'P' || p_partkey || CASE WHEN p_partkey % 10 = 0 THEN 'x' ELSE '' END AS sample, CASE WHEN p_partkey % 10 = 0 THEN 1 ELSE CAST(p_partkey AS INTEGER) END AS seg_index, p_partkey % 10 = 0 AS index_absent FROM part")
+def index_absent(spark, sf):
+    key = F.col("p_partkey")
+    p = read(spark, sf, "part").select(F.concat(F.lit("P"), key, F.when(key % 10 == 0, "x").otherwise("")).alias("sample"), F.when(key % 10 == 0, -key - 1).otherwise(key % 10).alias("core"))
+    return flags.index_absent(p, "sample", "core").select("sample", "seg_index", "index_absent")

@@ -39,13 +39,13 @@ def nearest_of_few(spark, sf):
     return points(spark, sf, "customer").withColumn("m", best).select("id", F.col("m.i").alias("nearest"), F.round("m.d", 6).alias("d"))
 
 
-_P = POINTS + f""", p AS (SELECT a.id AS a, b.id AS b, {hav("a", "b")} AS d, (a.v - b.v) * (a.v - b.v) / 2 AS gamma FROM sup a JOIN sup b ON a.id < b.id WHERE {hav("a", "b")} <= 40) """
+_P = POINTS + f""", p AS (SELECT a.id AS a, b.id AS b, {hav("a", "b")} AS d, (a.v - b.v) * (a.v - b.v) / 2 AS gamma FROM sup a JOIN sup b ON a.id < b.id) """
 
 
 @query("pairwise_variogram", _P + """, e AS (SELECT min(d) AS lo, max(d) AS hi FROM p), q AS (SELECT CAST(greatest(1, least(5, ceil((d - lo) / ((hi - lo) / 5)))) AS INTEGER) AS bin, d, gamma FROM p, e)
 SELECT k.bin, count(d) AS n_pairs, round(avg(d), 6) AS mean_distance, round(avg(gamma), 3) AS semivariance, count(d) >= 30 AS informative FROM (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS bin) k LEFT JOIN q USING (bin) GROUP BY 1""")
 def pairwise_variogram(spark, sf):
-    pairs = spatial.pairs_within(points(spark, sf), "id", 40.0, value="v")
+    pairs = spatial.pair_cloud(points(spark, sf), "id", value="v")
     return rounded(rounded(stats.variogram(pairs, "d", "gamma"), 6, "mean_distance"), 3, "semivariance")
 
 
@@ -250,7 +250,12 @@ def cv_buffered(spark, sf):
     return rounded(cv.buffered(p, "stratum", "v", "lon", near), 2, "pred").select("id", "n_train", "pred")
 
 
-@query("hex_bins")
+_HEX = f"""{POINTS}, xy AS (SELECT v, {_RHO} * sin((lon + 95) * {_e(_N)} * pi() / 180) AS x, {_e(_RHO0)} - {_RHO} * cos((lon + 95) * {_e(_N)} * pi() / 180) AS y FROM cus), a AS (SELECT v, (x * (sqrt(3e0) / 3e0) - y / 3e0) / (2000e0 / sqrt(3e0)) AS q, y * (2e0 / 3e0) / (2000e0 / sqrt(3e0)) AS r FROM xy),
+z AS (SELECT v, round(q) AS rq, round(r) AS rr, round(-q - r) AS rs, abs(round(q) - q) AS dq, abs(round(r) - r) AS dr, abs(round(-q - r) + q + r) AS ds FROM a)
+SELECT CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS BIGINT) AS q, CAST(CASE WHEN dq > dr AND dq > ds THEN rr WHEN dr > ds THEN -rq - rs ELSE rr END AS BIGINT) AS r, count(*) AS n, round(avg(v), 4) AS mean FROM z GROUP BY 1, 2"""
+
+
+@query("hex_bins", _HEX)
 def hex_bins(spark, sf):
     x, y = _L.forward("lon", "lat")
     p = points(spark, sf, "customer").select("v", x.alias("x"), y.alias("y"))
@@ -269,7 +274,9 @@ def geotiff_roundtrip(spark, sf):
     from ..sources.geotiff import register
 
     register(spark)
-    path = f"{tempfile.gettempdir()}/strataspark-{uuid.uuid4().hex}.tif"
+    # a folder that driver and executors share
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    path = f"{(shared or tempfile.gettempdir()).removeprefix('file://').rstrip('/')}/strataspark-{uuid.uuid4().hex}.tif"
     g = _pg(spark, sf)
     src = _part(spark, sf).select("row", "col", F.col("z").cast("float").cast("double").alias("z"))
     px = src.withColumns({"x": g.x(F.col("col")), "y": g.y(F.col("row"))}).select("row", "col", "x", "y", "z")
@@ -279,16 +286,36 @@ def geotiff_roundtrip(spark, sf):
     return met.agg(F.count("*").alias("n"), F.count_if(~F.col("z").eqNullSafe(F.col("z2"))).alias("n_differ"))
 
 
-@query("hull_points", None)
+@query("hull_points", """WITH p AS (SELECT CAST((s_suppkey * 7919) % 1000 AS DOUBLE) AS x, CAST((s_suppkey * 104729) % 1000 AS DOUBLE) AS y FROM supplier)
+SELECT DISTINCT a.x, a.y FROM p a JOIN p b ON (a.x, a.y) <> (b.x, b.y) WHERE NOT EXISTS (SELECT 1 FROM p c WHERE (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
+ OR ((b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND (c.x - a.x) * (b.x - a.x) + (c.y - a.y) * (b.y - a.y) < 0))""")
 def hull_points(spark, sf):
-    return spatial.hull(points(spark, sf), "lon", "lat")
+    k = F.col("s_suppkey")
+    return spatial.hull(read(spark, sf, "supplier").select((k * 7919 % 1000).cast("double").alias("x"), (k * 104729 % 1000).cast("double").alias("y")), "x", "y")
 
 
-@query("pair_summary", POINTS + f"SELECT count(*) AS n_pairs, round(max({_BH}), 6) AS extent, round(avg({_BH}), 6) AS mean FROM sup a JOIN sup b ON a.id < b.id WHERE {_BH} <= 10")
+@query("pair_summary", POINTS + f"SELECT count(*) AS n_pairs, round(max({_BH}), 6) AS extent, round(avg({_BH}), 6) AS mean FROM sup a JOIN sup b ON a.id < b.id")
 def pair_summary(spark, sf):
-    p = spatial.pairs_within(points(spark, sf), "id", 10.0)
+    p = spatial.pair_cloud(points(spark, sf), "id")
     return rounded(p.agg(F.count("*").alias("n_pairs"), F.max("d").alias("extent"), F.avg("d").alias("mean")), 6, "extent", "mean")
 
 
-def distance_between(df, a, b):
-    return df.withColumn("d", haversine_km(*a, *b))
+@query("median_neighbour", POINTS + f", n AS (SELECT a.id, min({_BH}) AS d FROM sup a JOIN sup b ON a.id <> b.id GROUP BY 1) SELECT round(median(d), 6) AS km FROM n")
+def median_neighbour(spark, sf):
+    return spark.createDataFrame([(round(spatial.median_neighbour_km(points(spark, sf), "id"), 6),)], "km double")
+
+
+@query("buffered_bbox", POINTS + "SELECT round(least(-87.9e0, min(lon) - 5e0 / 111.32e0 / cos(avg(lat) * pi() / 180)), 6) AS xmin, round(least(55.9e0, min(lat) - 5e0 / 111.32e0), 6) AS ymin, round(greatest(-87.4e0, max(lon) + 5e0 / 111.32e0 / cos(avg(lat) * pi() / 180)), 6) AS xmax, round(greatest(56.2e0, max(lat) + 5e0 / 111.32e0), 6) AS ymax FROM sup")
+def buffered_bbox(spark, sf):
+    return rounded(spatial.buffered_bbox(points(spark, sf), (-87.9, 55.9, -87.4, 56.2), 5.0), 6, "xmin", "ymin", "xmax", "ymax")
+
+
+@query("compare_projections", POINTS + "SELECT id, round(sqrt(pow((lon + 95) * 71120e0 - (lon + 95) * 71000e0, 2) + pow(lat * 3e0, 2)), 4) AS offset_m FROM sup")
+def compare_projections(spark, sf):
+    p = points(spark, sf).select("id", ((F.col("lon") + 95) * 71120).alias("x1"), (F.col("lat") * 4).alias("y1"), ((F.col("lon") + 95) * 71000).alias("x2"), F.col("lat").alias("y2"))
+    return rounded(spatial.compare_projections(p, "x1", "y1", "x2", "y2"), 4, "offset_m").select("id", "offset_m")
+
+
+@query("hex_grid", """WITH r AS (SELECT r FROM range(-100, 100) t(r) WHERE r * sqrt(3e0) * 250 BETWEEN -3000 AND 4000), c AS (SELECT q, r, (q + r / 2e0) * 500 AS x, r * sqrt(3e0) * 250 AS y FROM r, range(-200, 200) t(q)) SELECT q, r, round(x, 4) AS x, round(y, 4) AS y FROM c WHERE x BETWEEN -2000 AND 6000""")
+def hex_grid(spark, sf):
+    return rounded(spatial.hex_grid(spark, (-2000.0, -3000.0, 6000.0, 4000.0), 500.0), 4, "x", "y").select("q", "r", "x", "y")

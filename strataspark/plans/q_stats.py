@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import t_quantile
 from ..operators import cv, ml, stats
 from ..operators.raster import composite_median, remap
 from ..streaming.updates import sessions, tumbling
-from .registry import POINTS, points, query, read, rounded
+from .registry import POINTS, hav, points, query, read, rounded
 
-_T200 = repr(t_quantile(0.975, 200))
+#: Trees of the forests that are refitted for every draw (the operators' default is 500).
+IMPORTANCE_TREES = 50
+
+
+def _t_sql(df: str) -> str:
+    """The 0.975 quantile of t for over 200 degrees of freedom: the expansion about the normal quantile, as numbers."""
+    z = 1.959963984540054
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
+    return "(" + " + ".join([repr(z), *(f"{c!r} / pow({df}, {k})" for k, c in enumerate(terms, 1))]) + ")"
 
 
 @query("stratum_stats", f"""WITH g AS (SELECT o_orderpriority AS stratum, count(*) AS n, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS sd FROM orders GROUP BY 1)
-SELECT stratum, n, round(mean, 3) AS mean, round(sd, 3) AS sd, round(sd / sqrt(n), 4) AS se, round(100 * sd / mean, 4) AS cv_pct, round(mean - {_T200} * sd / sqrt(n), 2) AS t_lo, round(mean + {_T200} * sd / sqrt(n), 2) AS t_hi, n >= 8 AS trustworthy FROM g""")
+SELECT stratum, n, round(mean, 3) AS mean, round(sd, 3) AS sd, round(sd / sqrt(n), 4) AS se, round(100 * sd / mean, 4) AS cv_pct, round(mean - {_t_sql('(n - 1e0)')} * sd / sqrt(n), 2) AS t_lo, round(mean + {_t_sql('(n - 1e0)')} * sd / sqrt(n), 2) AS t_hi, n >= 8 AS trustworthy FROM g""")
 def stratum_stats(spark, sf):
-    out = stats.t_ci(stats.group_stats(read(spark, sf, "orders").withColumnRenamed("o_orderpriority", "stratum"), ["stratum"], "o_totalprice"), most=200)  # as its SQL has it
+    out = stats.t_ci(stats.group_stats(read(spark, sf, "orders").withColumnRenamed("o_orderpriority", "stratum"), ["stratum"], "o_totalprice"))
     return rounded(rounded(rounded(out, 3, "mean", "sd"), 4, "se", "cv_pct"), 2, "t_lo", "t_hi")
 
 
@@ -35,12 +42,13 @@ def excluded_list(spark, sf):
     return stats.excluded(read(spark, sf, "supplier").withColumn("low", F.col("s_acctbal") < 0), ["s_nationkey"], "s_suppkey", "low")
 
 
-@query("bootstrap_ci", """WITH x AS (SELECT s_nationkey AS k, s_acctbal AS v, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
-z AS (SELECT DISTINCT k, n FROM x), d AS (SELECT k, n, r, unnest(range(1, n + 1)) AS j FROM z, range(1, 201) t(r)),
-m AS (SELECT d.k, d.r, avg(v) AS m FROM d JOIN x ON x.k = d.k AND x.i = (d.r * 7919 + d.j * 104729 + 1) % d.n GROUP BY 1, 2)
-SELECT k AS s_nationkey, round(quantile_cont(m, 0.025), 4) AS boot_lo, round(quantile_cont(m, 0.975), 4) AS boot_hi FROM m GROUP BY 1""")
+@query("bootstrap_ci", """WITH x AS (SELECT s_nationkey AS k, s_acctbal AS v, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier),
+z AS (SELECT k, count(*) AS n, avg(v) AS mean FROM x GROUP BY 1), d AS (SELECT k, n, r, unnest(range(1, n + 1)) AS j FROM z, range(1, 10001) t(r) WHERE n > 1),
+m AS (SELECT d.k, d.r, avg(v) AS m FROM d JOIN x ON x.k = d.k AND x.i = CAST('0x' || substr(md5(d.k || ':' || d.r || ':' || d.j || ':1'), 1, 15) AS BIGINT) % d.n GROUP BY 1, 2),
+b AS (SELECT k, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY 1)
+SELECT k AS s_nationkey, n, round(mean, 4) AS mean, round(lo, 4) AS boot_lo, round(hi, 4) AS boot_hi, n >= 8 AS trustworthy FROM z LEFT JOIN b USING (k)""")
 def bootstrap_ci(spark, sf):
-    return rounded(stats.bootstrap_ci(read(spark, sf, "supplier"), ["s_nationkey"], "s_acctbal", ["s_suppkey"], 200), 4, "boot_lo", "boot_hi")
+    return rounded(stats.bootstrap_ci(read(spark, sf, "supplier"), ["s_nationkey"], "s_acctbal", ["s_suppkey"]), 4, "mean", "boot_lo", "boot_hi")
 
 
 @query("quantiles_type7", """WITH q AS (SELECT o_orderpriority, quantile_cont(o_totalprice, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q FROM orders GROUP BY 1)
@@ -60,14 +68,14 @@ s AS (SELECT CAST(count(*) FILTER (a) AS DOUBLE) AS n1, CAST(count(*) FILTER (NO
 SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, u, round((u - n1 * n2 / 2 - sign(u - n1 * n2 / 2) * 0.5) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z, round(u / (n1 * n2), 6) AS cles FROM u""")
 def ranksum_u(spark, sf):
     o = read(spark, sf, "orders").select("o_orderpriority", F.floor(F.col("o_totalprice") / 100).cast("double").alias("v"))
-    return rounded(stats.rank_sum(o, "o_orderpriority", "v", "1-URGENT", "5-LOW"), 6, "z", "cles")
+    return rounded(stats.rank_sum(o, "o_orderpriority", "v", "1-URGENT", "5-LOW"), 6, "z", "cles").drop("p")
 
 
 @query("metrics_block", """WITH x AS (SELECT l_returnflag AS g, l_extendedprice AS o, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity * 1000 END AS p FROM lineitem), y AS (SELECT *, p - o AS e FROM x)
-SELECT g AS l_returnflag, count(e) AS n, count(o) AS n_obs, count(p) AS n_predicted, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(abs(e)), 3) AS mae, round(avg(e), 3) AS bias, round(1 - sum(e * e) / (var_pop(o) FILTER (e IS NOT NULL) * count(e)), 6) AS r2_cv, round(count(e) / CAST(count(o) AS DOUBLE), 6) AS coverage FROM y GROUP BY 1""")
+SELECT g AS l_returnflag, count(e) AS n, count(o) AS n_obs, count(e) AS n_predicted, round(sqrt(avg(e * e)), 3) AS rmse, round(avg(abs(e)), 3) AS mae, round(avg(e), 3) AS bias, round(1 - sum(e * e) / (var_pop(o) FILTER (e IS NOT NULL) * count(e)), 6) AS r2_cv, round(1 - sqrt(avg(e * e)) / stddev_pop(o) FILTER (e IS NOT NULL), 6) AS skill_null, round(count(e) / CAST(count(o) AS DOUBLE), 6) AS coverage FROM y GROUP BY 1""")
 def metrics_block(spark, sf):
     li = read(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice", F.when(F.col("l_linenumber") != 3, F.col("l_quantity") * 1000).alias("p"))
-    return rounded(rounded(stats.metrics(li, ["l_returnflag"], "l_extendedprice", "p"), 3, "rmse", "mae", "bias"), 6, "r2_cv", "coverage")
+    return rounded(rounded(stats.metrics(li, ["l_returnflag"], "l_extendedprice", "p"), 3, "rmse", "mae", "bias"), 6, "r2_cv", "skill_null", "coverage")
 
 
 @query("benchmark_layers", """WITH u AS (UNPIVOT (SELECT l_extendedprice / 1000 AS t, l_quantity AS quantity, l_tax * 100 AS tax FROM lineitem) ON quantity, tax INTO NAME layer VALUE x)
@@ -171,10 +179,32 @@ def screen_covariates(spark, sf):
     return rounded(cv.screen(_cv_frame(spark, sf), ["x", "x2"], "g", "y"), 6, "rmse").select("covariate", "rmse", "rank", "n_candidates")
 
 
-@query("model_selection", "SELECT 'A' AS model, true AS qualified")
+# least squares on x, on the prior too, the mean, and the prior alone, each without the row's group
+_FOLDS = ", ".join(f"""s_{g} AS (SELECT {g} AS k, count(*) AS n, sum(x) AS sx, sum(p0) AS sp, sum(y) AS sy, sum(x * x) AS sxx, sum(x * p0) AS sxp, sum(p0 * p0) AS spp, sum(x * y) AS sxy, sum(p0 * y) AS spy FROM d GROUP BY 1),
+c_{g} AS (SELECT s.k, t.n - s.n AS n, t.sx - s.sx AS sx, t.sp - s.sp AS sp, t.sy - s.sy AS sy, t.sxx - s.sxx AS sxx, t.sxp - s.sxp AS sxp, t.spp - s.spp AS spp, t.sxy - s.sxy AS sxy, t.spy - s.spy AS spy FROM s_{g} s, (SELECT sum(n) AS n, sum(sx) AS sx, sum(sp) AS sp, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxp) AS sxp, sum(spp) AS spp, sum(sxy) AS sxy, sum(spy) AS spy FROM s_{g}) t),
+v_{g} AS (SELECT *, sxx - sx * sx / n AS vx, spp - sp * sp / n AS vp, sxp - sx * sp / n AS vxp, sxy - sx * sy / n AS vxy, spy - sp * sy / n AS vpy FROM c_{g}),
+f_{g} AS (SELECT d.id, d.y, sy / n AS pn, sy / n + vxy / vx * (x - sx / n) AS pa, p0 AS pp, sy / n + (vxy * vp - vpy * vxp) / (vx * vp - vxp * vxp) * (x - sx / n) + (vpy * vx - vxy * vxp) / (vx * vp - vxp * vxp) * (p0 - sp / n) AS pb FROM d JOIN v_{g} ON k = d.{g}),
+w_{g} AS (SELECT a.id, sum(exp(-0.5e0 * pow({hav("a", "b")} / 5e0, 2))) AS w, sum(exp(-0.5e0 * pow({hav("a", "b")} / 5e0, 2)) * (b.y - b.p0)) AS wr FROM d a JOIN d b ON a.{g} <> b.{g} AND {hav("a", "b")} <= 20 GROUP BY 1),
+l_{g} AS (SELECT y, unnest(['N', 'A', 'P', 'B', 'C']) AS model, unnest([pn, pa, pp, pb, pp + coalesce(wr / (1 + w), 0)]) AS p FROM f_{g} LEFT JOIN w_{g} USING (id)),
+m_{g} AS (SELECT model, count(*) AS n, sqrt(avg((p - y) * (p - y))) AS rmse, 1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)) AS r2 FROM l_{g} GROUP BY 1)""" for g in ("core", "stratum"))
+_CANDIDATES = POINTS + f""", d AS (SELECT id, lon, lat, id % 20 AS core, id % 3 AS stratum, v / 1000 AS y, v / 2000 + (id % 7) / 3e0 AS x, v / 1500 + (id % 5) / 2e0 AS p0 FROM sup), {_FOLDS},
+r AS (SELECT model, a.n, a.rmse, a.r2 AS loco_r2, b.r2 AS loso_r2, max(CASE WHEN model = 'P' THEN a.rmse END) OVER () AS map_rmse FROM m_core a JOIN m_stratum b USING (model)) """
+
+
+def _scored(spark, sf):
+    p, k = points(spark, sf), lambda n: F.pmod("id", F.lit(n))
+    d = p.select("id", "lon", "lat", k(20).alias("core"), k(3).alias("stratum"), (F.col("v") / 1000).alias("y"), (F.col("v") / 2000 + k(7) / 3).alias("x"), (F.col("v") / 1500 + k(5) / 2).alias("p0"))
+    return cv.candidate_scores(d, "id", "core", "stratum", "y", ["x"], cv.prior_anchor(d, ["p0"]), 5.0, 20.0)
+
+
+@query("candidate_scores", _CANDIDATES + "SELECT model, n, round(rmse, 6) AS rmse, round(loco_r2, 6) AS loco_r2, round(loso_r2, 6) AS loso_r2, round(map_rmse, 6) AS map_rmse FROM r")
+def candidate_scores(spark, sf):
+    return rounded(_scored(spark, sf), 6, "rmse", "loco_r2", "loso_r2", "map_rmse").drop("loso_coverage")
+
+
+@query("model_selection", _CANDIDATES + """, q AS (SELECT model FROM r WHERE model IN ('A', 'B', 'C') AND loco_r2 > 0 AND loso_r2 > 0 AND rmse < map_rmse ORDER BY loso_r2 DESC, model LIMIT 1) SELECT coalesce((SELECT model FROM q), 'C') AS model, EXISTS (SELECT 1 FROM q) AS qualified""")
 def model_selection(spark, sf):
-    rows = [("N", -0.1, -0.2, 3.0, 2.5), ("A", 0.5, 0.4, 1.2, 2.5), ("B", 0.6, -0.1, 1.1, 2.5), ("C", 0.3, 0.2, 2.0, 2.5), ("P", None, None, 2.5, 2.5)]
-    return cv.select_model(spark.createDataFrame(rows, "model string, loco_r2 double, loso_r2 double, rmse double, map_rmse double"))
+    return cv.select_model(_scored(spark, sf))
 
 
 @query("stratum_transfer", _ols_sql("stratum").replace(_SCORE, "").replace("f AS (SELECT y, ", "f AS (SELECT d.stratum, y, ") + " SELECT stratum, count(*) AS n, round(avg(p - y), 6) AS bias, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse FROM f GROUP BY 1")
@@ -208,7 +238,21 @@ def forest_predict(spark, sf):
 def rf_importance(spark, sf):
     s = read(spark, sf, "supplier").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("balance"), F.count("*").cast("double").alias("n"))
     frame = s.select(F.pmod("s_nationkey", F.lit(5)).alias("g"), "balance", "n", (F.col("balance") * 3).alias("y"))
-    return ml.importance(frame, ["balance", "n"], "y", "g", shuffles=3, nulls=6, trees=8)
+    return ml.importance(frame, ["balance", "n"], "y", "g", trees=IMPORTANCE_TREES)
+
+
+@query("forest_validation")
+def forest_validation(spark, sf):
+    s = read(spark, sf, "supplier").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("balance"), F.count("*").cast("double").alias("n"))
+    return ml.forest_validation(s.withColumn("y", F.col("balance") * 3), ["balance", "n"], "y", "s_nationkey", trees=IMPORTANCE_TREES)
+
+
+@query("ols_insample", """WITH d AS (SELECT v AS y, lon AS a, lat AS b FROM sup), m AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(y) AS vy, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS cab, covar_pop(a, y) AS cay, covar_pop(b, y) AS cby, count(*) AS n FROM d),
+s AS (SELECT *, (cay * vb - cby * cab) / (va * vb - cab * cab) AS ba, (cby * va - cay * cab) / (va * vb - cab * cab) AS bb FROM m) SELECT n, round(ba, 4) AS slope_a, round(bb, 4) AS slope_b, round((ba * cay + bb * cby) / vy, 6) AS r2, 'flat' AS dropped FROM s""".join([POINTS + ", ", ""]).replace("WITH d AS", "d AS"))
+def ols_insample(spark, sf):
+    d = points(spark, sf).select(F.col("v").alias("y"), F.col("lon").alias("a"), F.col("lat").alias("b"), F.lit(2.0).alias("flat"))
+    m = cv.ols(d, ["a", "b", "flat"], "y")
+    return spark.createDataFrame([(m["n"], round(m["slopes"]["a"], 4), round(m["slopes"]["b"], 4), round(m["r2"], 6), ";".join(m["dropped"]))], "n long, slope_a double, slope_b double, r2 double, dropped string")
 
 
 # ---------------------------------------------------------------- extensions on the event table

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What a request may hold, what it should, and the allowance for overhead.
 HARD_BYTES, TARGET_BYTES, OVERHEAD, MOST_TILES = 50_331_648, 24 * 1024 * 1024, 1.30, 256
@@ -50,3 +51,10 @@ def tiles(spark: SparkSession, bbox, scale_m: float, bands: int) -> DataFrame:
         nx, ny = dims(box, scale_m)
         rows.append((k, *box, nx, ny, float(estimate_bytes(nx, ny, bands))))
     return spark.createDataFrame(rows, "tile int, x0 double, y0 double, x1 double, y1 double, nx int, ny int, bytes double")
+
+
+def download_manifest(spark: SparkSession, requests: DataFrame, have: DataFrame, least_bytes: int = 1) -> DataFrame:
+    """Each request (name, tile, bytes) with its status: cached (in ``have``: name, tile, size; large enough), failed (there, but smaller), too_large (over the hard limit) or pending."""
+    met = requests.join(have.select("name", "tile", F.col("size").alias("size")), ["name", "tile"], "left")
+    status = F.when(F.col("size") >= least_bytes, "cached").when(F.col("size").isNotNull(), "failed").when(F.col("bytes") > HARD_BYTES, "too_large").otherwise("pending")
+    return met.withColumn("status", status)

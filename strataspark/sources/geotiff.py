@@ -15,6 +15,7 @@ import struct
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -123,9 +124,10 @@ class _Reader(DataSourceReader):
             for s in range(partition.first, partition.last):
                 f.seek(h.offsets[s])
                 z = np.frombuffer(f.read(h.rows_of(s) * h.nx * 4), f"<{'f4' if h.dtype == 'float32' else 'i4'}").astype(float)
-                for i, v in enumerate(z):
-                    r, c = s * h.strip_rows + i // h.nx, i % h.nx
-                    yield r, c, h.xmin + (c + 0.5) * h.xres, h.ymax - (r + 0.5) * h.yres, None if v == h.nodata or v != v else float(v)
+                i = np.arange(len(z))
+                r, c = s * h.strip_rows + i // h.nx, i % h.nx
+                columns = [pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(h.xmin + (c + 0.5) * h.xres), pa.array(h.ymax - (r + 0.5) * h.yres), pa.array(z, mask=(z == h.nodata) | np.isnan(z))]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "col", "x", "y", "z"])
 
 
 @dataclass
