@@ -171,16 +171,20 @@ def text_column(docs: DataFrame, *columns: str) -> DataFrame:
 
 # ---------------------------------------------------------------- a bounded filter on ids
 
-FILTER_BITS = 1 << 23
+#: Sizes of the field, by the number of ids: 8 to 16 bits each up to the largest (16 MB), fewer beyond.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 23, 1 << 27
 
 
-def id_filter(ids: DataFrame, column: str = "id") -> np.ndarray:
-    """A bit field of fixed size with two bits set for each id. It only thins out rows before an exact join."""
+def id_filter(ids: DataFrame, column: str = "id", n: int = 0) -> np.ndarray:
+    """A bit field with two bits set for each of about ``n`` ids. It only thins out rows before an exact join, so beyond its largest size it thins less, and results are the same."""
+    size = FILTER_BITS
+    while size < min(8 * n, MOST_FILTER_BITS):
+        size *= 2
 
     def bits(batches):
-        field = np.zeros(FILTER_BITS, bool)
+        field = np.zeros(size, bool)
         for batch in batches:
-            for h in filter_slots(batch.column(0).to_numpy(zero_copy_only=False)):
+            for h in filter_slots(batch.column(0).to_numpy(zero_copy_only=False), size):
                 field[h] = True
         packed = np.packbits(field)
         for k in range(8):
@@ -197,7 +201,7 @@ def id_filter(ids: DataFrame, column: str = "id") -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack(total)], pa.binary())], ["b", "blob"])
 
     found = ids.select(F.col(column).cast("long")).mapInArrow(bits, "b int, blob binary")
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for r in dealt(found, 8).mapInArrow(union, "b int, blob binary").collect():
         out[r["b"] * len(out) // 8 : (r["b"] + 1) * len(out) // 8] = unpack(r["blob"], np.uint8)[0]
     return out
@@ -214,12 +218,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def filter_slots(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def filter_slots(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    m = np.uint64(FILTER_BITS - 1)
+    m = np.uint64(size - 1)
     return (h & m).astype(np.int64), ((h >> np.uint64(32)) & m).astype(np.int64)
 
 
 def may_hold(field: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    a, b = filter_slots(ids)
+    a, b = filter_slots(ids, 8 * len(field))
     return ((field[a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & (field[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1).astype(bool)

@@ -348,7 +348,8 @@ class LineJoin:
         """(doc, line) of the later lines of the pairs that match."""
         percent, classes = self.percent, self.classes
         ends = written(pairs.select("doc", "line").union(pairs.select("other_doc", "other_line")).distinct(), "ends")
-        by_doc = self.spark.sparkContext.broadcast(id_filter(ends, "doc"))
+        n_ends = ends.count()
+        by_doc = self.spark.sparkContext.broadcast(id_filter(ends, "doc", n_ends))
         texts, few = self.docs, ends.select(F.col("doc").alias("doc_id")).distinct().limit(BROADCAST_DOCS + 1)
         if ends.agg(F.approx_count_distinct("doc")).first()[0] < BROADCAST_DOCS // 2 and few.count() <= BROADCAST_DOCS:
             texts = texts.join(F.broadcast(few), texts["doc_id"] == few["doc_id"], "left_semi")
@@ -357,7 +358,7 @@ class LineJoin:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array(_place(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["id"])
 
-        by_place = self.spark.sparkContext.broadcast(id_filter(ends.mapInArrow(places, "id long")))
+        by_place = self.spark.sparkContext.broadcast(id_filter(ends.mapInArrow(places, "id long"), n=n_ends))
 
         def fetch(batches):
             for batch in slices(batches):
@@ -465,7 +466,7 @@ class LineJoin:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array(_place(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["id"])
 
-        wanted = self.spark.sparkContext.broadcast(id_filter(rest.mapInArrow(places, "id long")))
+        wanted = self.spark.sparkContext.broadcast(id_filter(rest.mapInArrow(places, "id long"), n=rest.count()))
 
         def elements(batches):
             for batch in slices(batches):

@@ -22,7 +22,7 @@ Thresholds are exact: two sets link when 100 * common >= percent * union.
 
 Defined cases: texts without words have empty sets, linked with nothing; rows
 with a null doc_id are scored but linked with nothing (component null); rows
-that share a doc_id are one document; equal texts share a component.
+that share a doc_id are judged each by its own text; equal texts share a component.
 """
 
 from __future__ import annotations
@@ -46,7 +46,10 @@ HUBS, HUB_PAIRS = 4, 2
 BUCKET_ENTRIES = 1 << 20
 LEAST_BUCKETS = 64
 #: A run's nodes in one task at most; beyond, the run is split by node and tied together by every SPLIT / 64-th node.
+#: A slot of the counts holds many elements, so what it has over twice the mean slot is taken for one element's.
 SPLIT = 1 << 16
+#: Members of an open run that meet in one task; a longer run is cut into blocks, and every two of them meet.
+RUN_BLOCK = 512
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -217,16 +220,16 @@ def _first_round(percent: int, parts):
 
 
 def _second_round(percent: int, most: int | None):
-    """Rows of long runs sorted by token, with components -> the pairs between components, or for each member ``most`` of them."""
+    """Rows of long runs (or of two blocks of one) sorted by their key, with components -> the pairs between components, or for each member ``most`` of them."""
 
     def flush(parts):
-        node, n, pos, root = (np.concatenate(x) for x in zip(*parts))
+        node, n, pos, root, block = (np.concatenate(x) for x in zip(*parts))
         if len(np.unique(root)) < 2:
             return
         order = np.lexsort((node, n))
-        node, n, pos, root = node[order], n[order].astype(np.int64), pos[order].astype(np.int64), root[order]
+        node, n, pos, root, block = node[order], n[order].astype(np.int64), pos[order].astype(np.int64), root[order], block[order]
         a, b = _pairs(n, pos, np.arange(len(node)), percent)
-        apart = root[a] != root[b]
+        apart = (root[a] != root[b]) & ((block[a] != block[b]) | (block[0] == block[-1]) & (block == block[0]).all())
         a, b = a[apart], b[apart]
         if most is not None and len(a):
             a, b = np.concatenate((a, b)), np.concatenate((b, a))
@@ -241,7 +244,7 @@ def _second_round(percent: int, most: int | None):
         now, parts = None, []
         for batch in batches:
             token = batch.column(0).to_numpy()
-            cols = [batch.column(k).to_numpy() for k in range(1, 5)]
+            cols = [batch.column(k).to_numpy() for k in range(1, 6)]
             for s, m in zip(*runs(token)):
                 if token[s] != now:
                     if parts:
@@ -280,7 +283,8 @@ class NgramJoin:
         counts = count_blocks(self.docs, _counter(k))
         counts = counts if len(counts) else np.zeros(1 << SLOT_BITS, np.int64)
         self.classes = self.spark.sparkContext.broadcast(rarity_classes(counts))
-        self.parts = self.spark.sparkContext.broadcast(np.minimum(-(-counts // SPLIT), 1 << 20).astype(np.uint32))
+        over = np.maximum(counts - 2 * int(counts.mean()), 0) if len(counts) else counts
+        self.parts = self.spark.sparkContext.broadcast(np.clip(-(-over // SPLIT), 1, 1 << 20).astype(np.uint32))
         self.sets = written(self.docs.mapInArrow(self._sets(), "doc_id long, n long, node long, prefix binary, parity binary"), "sets")
         self.members = written(self.sets.select("doc_id", "n", "node"), "members")
         nodes = self.sets.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
@@ -370,8 +374,9 @@ class NgramJoin:
         """(node, elements) of the ends of the pairs."""
         ends = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(self.nodes.select("node", "doc_id"), "node"), "ends")
         # the filter lets a few sets more pass, which no pair asks for; rows that repeat under one doc_id are thinned out
-        sets = written(self._fetch(id_filter(ends, "doc_id")), "elements")
-        if sets.count() > 1.1 * ends.count() + 1000:
+        n = ends.count()
+        sets = written(self._fetch(id_filter(ends, "doc_id", n)), "elements")
+        if sets.count() > 1.1 * n + 1000:
             sets = written(sets.dropDuplicates(["node"]), "elements")
         drop(ends)
         return sets
@@ -379,7 +384,7 @@ class NgramJoin:
     def _verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The linked ones of the distinct pairs (a, b)."""
         percent = self.percent
-        field = self.spark.sparkContext.broadcast(id_filter(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
+        field = self.spark.sparkContext.broadcast(id_filter(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), n=2 * pairs.count()))
 
         def needed_here(batches):
             for batch in batches:
@@ -441,11 +446,15 @@ class NgramJoin:
         done = pairs
         for most in (2, 16, None):
             labelled = long.join(roots, "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-            open_runs = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
+            open_runs = labelled.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / RUN_BLOCK).cast("int").alias("blocks")).filter("lo != hi").select("token", "blocks")
             rest = written(labelled.join(open_runs, "token"), "open")
             if rest.isEmpty():
                 break
-            more = rest.select("token", "node", "n", "pos", "root").repartition("token").sortWithinPartitions("token").mapInArrow(_second_round(self.percent, most), CANDIDATES)
+            # block i of a run meets itself and each other block once, under a key of its own
+            own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
+            dealt_out = rest.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            dealt_out = dealt_out.withColumn("key", F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")))
+            more = dealt_out.select("key", "node", "n", "pos", "root", "block").repartition("key").sortWithinPartitions("key").mapInArrow(_second_round(self.percent, most), CANDIDATES)
             more = written(more.select("a", "b").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
             drop(rest)
             if more.isEmpty():

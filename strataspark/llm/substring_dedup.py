@@ -4,8 +4,11 @@ Every word position starts a suffix.  Suffixes are split into memory-sized
 groups by word prefixes of variable length: the shortest of ``LEVELS`` words
 whose group holds at most ``limit`` suffixes.  Group sizes come from counts of
 fixed size over all texts.  A group is sorted by its suffixes' first
-``width`` words; the runs of equal ones are the subtree's internal nodes of
-that depth.  A node with several documents is a repeat: each of its leaves but
+``width`` words (their 64-bit hash); the runs of equal ones are the subtree's
+internal nodes of that depth.  Nodes further down, and so maximal repeats
+longer than ``width``, are not built: what is removed rests on that depth
+alone.  Two different nodes are mixed up only if their hashes and their
+groups' buckets agree: about suffixes * limit / 2^65 pairs.  A node with several documents is a repeat: each of its leaves but
 those of the smallest doc_id removes its ``width`` words.  Nodes that alone
 exceed ``limit`` (a passage in very many documents) are counted and settled
 before the shuffle, from a list whose length is bounded by words / limit.
@@ -29,7 +32,8 @@ from .common import count_blocks, dealt, id_filter, buckets_of, may_hold, mix, p
 from .textops import Words, glued, slices
 
 LEVELS = (1, 2, 3, 5, 8)
-SLOTS = 1 << 16
+#: Slots of the counts of a prefix length, and of the whole width.
+SLOTS, LAST_SLOTS = 1 << 16, 1 << 20
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
@@ -40,33 +44,38 @@ def _levels(width: int) -> tuple[int, ...]:
     return tuple(k for k in LEVELS if k < width) + (width,)
 
 
-def prefix_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """counts[level, slot]: suffixes by the hash of their first words, for each prefix length."""
+def prefix_counts(docs: DataFrame, width: int) -> list[np.ndarray]:
+    """For each prefix length, suffixes by the slot of their first words' hash."""
     levels = _levels(width)
 
     def count(batches):
-        total = np.zeros(len(levels) * SLOTS, np.int64)
+        total = np.zeros((len(levels) - 1) * SLOTS + LAST_SLOTS, np.int64)
         for batch in slices(batches):
             w = Words(batch.column(1))
             starts, _ = w.windows(width)
             for k, length in enumerate(levels):
-                _, slot = _slots(w, length, starts)
-                total[k * SLOTS : (k + 1) * SLOTS] += np.bincount(slot, minlength=SLOTS)
+                size = SLOTS if length < width else LAST_SLOTS
+                total[k * SLOTS : k * SLOTS + size] += np.bincount(_slots(w, length, starts, size), minlength=size)
         return total
 
     total = count_blocks(docs, count)
-    return total.reshape(len(levels), SLOTS) if len(total) else np.zeros((len(levels), SLOTS), np.int64)
+    if not len(total):
+        total = np.zeros((len(levels) - 1) * SLOTS + LAST_SLOTS, np.int64)
+    return [total[k * SLOTS : (k + 1) * SLOTS] for k in range(len(levels) - 1)] + [total[-LAST_SLOTS:]]
 
 
-def _slots(w: Words, length: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slots(w: Words, length: int, starts: np.ndarray, size: int) -> np.ndarray:
     at, h = w.windows(length)
-    h = h[np.searchsorted(at, starts)]
-    return h, (h >> np.uint64(48)).astype(np.int64)
+    return _slot(h[np.searchsorted(at, starts)], size)
+
+
+def _slot(h: np.ndarray, size: int) -> np.ndarray:
+    return (h >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def hot_nodes(docs: DataFrame, width: int, counts: np.ndarray, limit: int) -> dict[int, int]:
-    """hash -> smallest doc_id of the nodes with over ``limit`` leaves; empty unless a slot of the last level is that large."""
-    slots = counts[-1] > limit
+    """hash -> smallest doc_id of the nodes with over ``limit`` leaves; empty unless a slot of the last level has that many over twice the mean slot."""
+    slots = counts > limit + 2 * int(counts.mean())
     if not slots.any():
         return {}
 
@@ -74,7 +83,7 @@ def hot_nodes(docs: DataFrame, width: int, counts: np.ndarray, limit: int) -> di
         for batch in slices(batches):
             w, ids = Words(batch.column(1)), _ids(batch)
             at, h = w.windows(width)
-            hot = slots[(h >> np.uint64(48)).astype(np.int64)]
+            hot = slots[_slot(h, LAST_SLOTS)]
             at, h = at[hot], h[hot]
             order = np.lexsort((ids[w.doc[at]], h))
             first, n = runs(h[order])
@@ -89,9 +98,9 @@ def repeated(docs: DataFrame, width: int = 13, limit: int = 1 << 21) -> DataFram
     spark = docs.sparkSession
     counts = prefix_counts(docs, width)
     total = int(counts[-1].sum())
-    hot = hot_nodes(docs, width, counts, limit)
+    hot = hot_nodes(docs, width, counts[-1], limit)
     n_buckets = max(64, 2 * math.ceil(total / limit))
-    shared = spark.sparkContext.broadcast((counts > limit, np.array(sorted(hot), np.int64), np.array([hot[k] for k in sorted(hot)], np.int64)))
+    shared = spark.sparkContext.broadcast(([c > limit for c in counts[:-1]], np.array(sorted(hot), np.int64), np.array([hot[k] for k in sorted(hot)], np.int64)))
     levels = _levels(width)
 
     def suffixes(batches):
@@ -113,8 +122,11 @@ def repeated(docs: DataFrame, width: int = 13, limit: int = 1 << 21) -> DataFram
             for k, length in enumerate(levels):
                 if not len(left):
                     break
-                _, slot = _slots(w, length, at[left])
-                fits = ~large[k][slot] if k + 1 < len(levels) else np.ones(len(left), bool)
+                if k + 1 == len(levels):  # of the longest prefix each node is a group
+                    group[left] = h[left] | np.uint64(1 << 63)
+                    break
+                slot = _slots(w, length, at[left], SLOTS)
+                fits = ~large[k][slot]
                 group[left[fits]] = (slot[fits] + k * SLOTS).astype(np.uint64)
                 left = left[~fits]
             bucket = (mix(group + np.uint64(1)) % np.uint64(n_buckets)).astype(np.int32)
@@ -181,7 +193,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, limit: int = 1 << 21, text
     docs = text_column(docs)
     found = repeated(docs, width, limit)
     release(spark)
-    field = spark.sparkContext.broadcast(id_filter(found, "doc_id"))
+    field = spark.sparkContext.broadcast(id_filter(found, "doc_id", found.count()))
     schema = RESULT + (", kept_text string" if texts else "")
 
     def result(rows):
