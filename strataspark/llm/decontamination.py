@@ -31,6 +31,7 @@ from .common import drop, written
 WIDTH, LEAST_WORDS, SHARE, LITERALS = 8, 5, 0.25, 0.6
 BROADCAST_WINDOWS, BROADCAST_DOCS = 200_000, 500_000
 MARK = "\u0001"
+_NO_WINDOW = "cast(array() as array<struct<pos:int,h:bigint>>)"
 #: Units that follow a number.
 UNITS = "km kg cm mm m g mg l ml lb lbs oz ft in mi mph kph hz khz mhz ghz kb mb gb tb w kw v a c f k s ms h min sec hours hour minutes minute seconds second days day weeks week months month years year meters metres miles feet inches pounds dollars cents euros percent degrees liters litres grams kilograms kilometers kilometres".split()
 
@@ -93,12 +94,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, share:
     widths = sorted(r[0] for r in found.select("width").distinct().collect())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     templates = texts.select("doc_id", marked(F.col("text")).alias("words")).withColumn("plain", template(F.col("words")))
-    matched = None
-    for w in widths or [width]:  # one width, and those of items that are shorter
-        keys = found.filter(F.col("width") == w).select("item_id", "item_pos", "h", "slots", "n_windows")
-        part = templates.select("doc_id", F.explode(_windows(F.col("words"), F.col("plain"), w)).alias("x")).select("doc_id", "x.pos", "x.h").join(F.broadcast(keys) if small else keys, "h")
-        part = part.select("doc_id", "item_id", "pos", "item_pos", "slots", "n_windows", F.lit(w).alias("width"))
-        matched = part if matched is None else matched.unionByName(part)
+    # windows of all widths (one, and those of items that are shorter) in one pass over the texts
+    def of_width(w: int) -> Column:
+        return F.transform(F.coalesce(_windows(F.col("words"), F.col("plain"), w), F.expr(_NO_WINDOW)), lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h"), F.lit(w).alias("width")))
+
+    all_ = F.concat(*[of_width(w) for w in widths or [width]])
+    keys = found.select("item_id", "item_pos", "width", "h", "slots", "n_windows")
+    matched = templates.select("doc_id", F.explode(all_).alias("x")).select("doc_id", "x.*").join(F.broadcast(keys) if small else keys, ["h", "width"])
+    matched = matched.select("doc_id", "item_id", "pos", "item_pos", "slots", "n_windows", "width")
     matched = written(matched, "matches")
     bare = matched.filter(F.size("slots") == 0).select("doc_id", "item_id", "pos", "item_pos", "n_windows", F.lit(0).alias("n_slots"))
     full = matched.filter(F.size("slots") > 0)

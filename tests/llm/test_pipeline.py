@@ -53,3 +53,34 @@ def test_registered(spark):
     assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
     assert set(entry.oracle_sql()) <= set(names)
     assert entry.entry(spark).agg(F.count("*")).first()[0] > 0
+
+
+def test_odd_rows(spark, empty, odd, tmp_path):
+    """Empty tables, repeated rows, null ids and texts, clashing names pass every stage."""
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).collect() == [], name
+        out = stage(spark, odd, str(tmp_path))
+        got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+        assert not {"n", "score"} & set(out.columns)
+        text = odd.filter("text is not null").first()["text"]
+        first = {"language_id": [(1, text), (1, text), (None, text)], "ngram_jaccard_join": [(1, text), (2, None), (None, text)], "benchmark_decontamination": [(1, text), (1, text), (2, None), (None, text)]}
+        if name in first:
+            assert got == sorted(first[name], key=str), name
+        else:
+            assert got
+
+
+def test_oracles(spark):
+    """The SQL of the operators that have one gives the queries' rows."""
+    import duckdb
+
+    from strataspark.llm import queries as Q
+
+    d = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{d}/documents.parquet'")
+    for name, sql in Q.oracle_sql().items():
+        df, rel = Q.queries()[name](spark, d), c.sql(sql)
+        assert df.columns == rel.columns
+        assert sorted(map(tuple, df.collect())) == sorted(rel.fetchall()), name
