@@ -36,21 +36,30 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that match an earlier line go; a document that loses all its words goes too."""
+    """Lines that match an earlier line go; a document that loses all its words goes too. Null texts, and rows with a null or repeated doc_id, are judged as rows of their own."""
     out = line_dedup(docs.select(*COLUMNS), percent=80)
     left = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return _lengths(left)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    """Of each component of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays.
+
+    Rows that share a doc_id are one document: it goes if any of them has a
+    smaller doc_id in its component, else equal rows of it become one.  Rows
+    with a null doc_id stay.
+    """
     found = ngram_join(docs, 5, 80)
-    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    ids = written(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least")).filter("n > 1 or least < doc_id"), "groups")
+    kept = docs.join(ids.filter("least < doc_id").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    several = ids.filter("n > 1").select("doc_id")
+    if several.isEmpty():
+        return kept
+    return kept.join(several, "doc_id", "left_anti").select(*COLUMNS).unionByName(kept.join(several, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates())
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; rows with a null doc_id or text stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     gone = decontaminate(docs, items).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
