@@ -31,46 +31,61 @@ from .common import drop, written
 WIDTH, LEAST_WORDS, SHARE, LITERALS = 8, 5, 0.25, 0.6
 BROADCAST_WINDOWS, BROADCAST_DOCS = 200_000, 500_000
 MARK = "\u0001"
-_NO_WINDOW = "cast(array() as array<struct<pos:int,h:bigint>>)"
+_NO_WINDOW = "cast(array() as array<struct<pos:int,h:bigint,width:int>>)"
 #: Units that follow a number.
 UNITS = "km kg cm mm m g mg l ml lb lbs oz ft in mi mph kph hz khz mhz ghz kb mb gb tb w kw v a c f k s ms h min sec hours hour minutes minute seconds second days day weeks week months month years year meters metres miles feet inches pounds dollars cents euros percent degrees liters litres grams kilograms kilometers kilometres".split()
 
-_NUMBER = r"(?<![^\s(\[\"'])[-+$€£]?\d[\d.,:/]*%?(?=[\s)\]\"'.,;:!?]|$)"
-_NAME = r"(?<=[^\s.!?:\n][ \t])(\p{Lu}\p{Ll}+)"
+#: A look ahead comes first, so that most places fail at their own character.
+_NUMBER = r"(?=[-+$€£\d])(?<![^\s(\[\"'])[-+$€£]?\d[\d.,:/]*%?(?=[\s)\]\"'.,;:!?]|$)"
+_NAME = r"(?=\p{Lu})(?<=[^\s.!?:\n][ \t])(\p{Lu}\p{Ll}+)"
 
 
 def marked(text: Column) -> Column:
     """Slots become words that start with MARK, their type and their value."""
-    numbers = F.when(text.rlike(r"\d"), F.regexp_replace(text, _NUMBER, f"{MARK}n$0 ")).otherwise(text)
-    units = F.when(numbers.contains(MARK), F.regexp_replace(numbers, f"({MARK}n\\S* +)({'|'.join(UNITS)})\\b", f"$1{MARK}u$2")).otherwise(numbers)
+    numbers = F.regexp_replace(text, _NUMBER, f"{MARK}n$0 ")
+    units = F.when(text.rlike(r"\d"), F.regexp_replace(numbers, f"({MARK}n\\S* +)({'|'.join(UNITS)})\\b", f"$1{MARK}u$2")).otherwise(text)
     names = F.regexp_replace(units, _NAME, f"{MARK}p$1")
     plain = F.regexp_replace(F.lower(names), f"[^\\p{{L}}\\p{{N}}\\s{MARK}]+", "")
     return F.filter(F.split(plain, r"\s+"), lambda w: w != "")
 
 
-def template(words: Column) -> Column:
-    """Slots keep their type only."""
-    return F.transform(words, lambda w: F.when(w.startswith(MARK), F.substring(w, 1, 2)).otherwise(w))
+def _keys(words: Column) -> Column:
+    """A hash for each word; of a slot its type only counts."""
+    return F.transform(words, lambda w: F.xxhash64(F.when(w.startswith(MARK), F.substring(w, 1, 2)).otherwise(w)))
+
+
+def _own_keys(words: Column) -> Column:
+    """A hash for each word, of slots with their values."""
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _slots(words: Column) -> Column:
     return F.filter(words, lambda w: w.startswith(MARK))
 
 
-def _dense(words: Column, width) -> Column:
-    """Whether a window of templates or marked words has too many slots to be known by its template."""
-    return F.size(_slots(words)) > (1 - LITERALS) * width
+def _is_slot(words: Column) -> Column:
+    return F.transform(words, lambda w: w.startswith(MARK))
+
 
+def _dense(slot: Column, width) -> Column:
+    """Whether a window, given as whether each word is a slot, has too many slots to be known by its template."""
+    return F.size(F.array_remove(slot, False)) > (1 - LITERALS) * width
 
-def _windows(words: Column, plain: Column, width: int) -> Column:
-    """(pos, h) of each window of ``width`` marked words, of which ``plain`` are the templates; pos from 1."""
-    last = F.size(words) - width + 1
 
-    def window(i):
-        t = F.slice(plain, i, width)
-        return F.struct(i.alias("pos"), F.xxhash64(F.when(_dense(t, width), F.slice(words, i, width)).otherwise(t)).alias("h"))
+def _windows(width: int) -> Column:
+    """(pos, h, width) of each window of ``width`` words of a text with ``keys``, ``own`` keys and ``slot``; pos from 1, none for shorter texts."""
+    last = F.size("keys") - width + 1
 
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), window))
+    def window(i, dense: Column | None = None):
+        h = F.xxhash64(F.slice("keys", i, width))
+        if dense is not None:
+            h = F.when(dense, F.xxhash64(F.slice("own", i, width))).otherwise(h)
+        return F.struct(i.alias("pos"), h.alias("h"), F.lit(width).alias("width"))
+
+    places = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+    # a text with few slots in all has no dense window
+    cut = F.when(_dense(F.col("slot"), width), F.transform(places, lambda i: window(i, _dense(F.slice("slot", i, width), width)))).otherwise(F.transform(places, lambda i: window(i)))
+    return F.when(last >= 1, cut).otherwise(F.expr(_NO_WINDOW))
 
 
 def item_windows(items: DataFrame, width: int) -> DataFrame:
@@ -80,8 +95,8 @@ def item_windows(items: DataFrame, width: int) -> DataFrame:
     last = F.col("size") - F.col("width") + 1
     window = F.explode(F.sequence(F.lit(1), last))
     cut = words.select("item_id", "marked", "width", last.alias("n_windows"), window.alias("item_pos")).withColumn("words", F.slice("marked", F.col("item_pos"), F.col("width")))
-    plain, dense = template(F.col("words")), _dense(F.col("words"), F.col("width"))
-    h = F.xxhash64(F.when(dense, F.col("words")).otherwise(plain))
+    dense = _dense(_is_slot(F.col("words")), F.col("width"))
+    h = F.xxhash64(F.when(dense, _own_keys(F.col("words"))).otherwise(_keys(F.col("words"))))
     slots = F.when(dense, F.slice("words", 1, 0)).otherwise(_slots(F.col("words")))
     return cut.select("item_id", "width", "item_pos", h.alias("h"), slots.alias("slots"), "n_windows")
 
@@ -93,12 +108,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, share:
     small = found.count() <= BROADCAST_WINDOWS
     widths = sorted(r[0] for r in found.select("width").distinct().collect())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    templates = texts.select("doc_id", marked(F.col("text")).alias("words")).withColumn("plain", template(F.col("words")))
+    words = F.col("words")
+    templates = texts.select("doc_id", marked(F.col("text")).alias("words")).select("doc_id", _keys(words).alias("keys"), _own_keys(words).alias("own"), _is_slot(words).alias("slot"))
     # windows of all widths (one, and those of items that are shorter) in one pass over the texts
-    def of_width(w: int) -> Column:
-        return F.transform(F.coalesce(_windows(F.col("words"), F.col("plain"), w), F.expr(_NO_WINDOW)), lambda x: F.struct(x["pos"].alias("pos"), x["h"].alias("h"), F.lit(w).alias("width")))
-
-    all_ = F.concat(*[of_width(w) for w in widths or [width]])
+    cuts = [_windows(w) for w in widths or [width]]
+    all_ = F.concat(*cuts) if len(cuts) > 1 else cuts[0]
     keys = found.select("item_id", "item_pos", "width", "h", "slots", "n_windows")
     matched = templates.select("doc_id", F.explode(all_).alias("x")).select("doc_id", "x.*").join(F.broadcast(keys) if small else keys, ["h", "width"])
     matched = matched.select("doc_id", "item_id", "pos", "item_pos", "slots", "n_windows", "width")
