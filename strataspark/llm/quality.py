@@ -1,8 +1,9 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Bytes are embedded, convolved by learned filters of ``WIDTH`` bytes (every
-second place), rectified and max-pooled in chunks of ``CHUNK`` bytes that
-overlap by a filter's width and cover the whole document; the chunks' pooled
+Bytes are embedded, convolved by learned filters of ``WIDTH`` bytes at every
+place, rectified and max-pooled in chunks of ``CHUNK`` bytes that overlap by a
+filter's width and cover the whole document (zeros follow its end, so a score
+depends on the text alone); the chunks' pooled
 vectors, averaged, go through one hidden layer to one probability.  An
 embedding and a filter tap together are a table of 256 rows, so a document is
 scored by table look-ups.
@@ -26,39 +27,38 @@ from pyspark.sql import functions as F
 from .common import prepare
 from .textops import raw, slices
 
-EMBED, WIDTH, FILTERS, HIDDEN, STRIDE, CHUNK = 8, 8, 16, 16, 2, 512
+EMBED, WIDTH, FILTERS, HIDDEN, CHUNK = 8, 8, 16, 16, 512
 MAX_TRAIN_BYTES = 1 << 16
 
 
 def _chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes laid out so that each text starts a new chunk, zero-padded; chunks per text; each chunk's text."""
+    """Chunks as rows of CHUNK + WIDTH bytes, zero after a text's end; chunks per text; each chunk's text."""
     lengths = np.diff(offsets)
     per = np.maximum(1, -(-lengths // CHUNK))
     base = (np.cumsum(per) - per) * CHUNK
     flat = np.zeros(int(per.sum()) * CHUNK + WIDTH, np.uint8)
     flat[np.arange(len(data)) + np.repeat(base - offsets[:-1], lengths)] = data
-    return flat, per, np.repeat(np.arange(len(lengths)), per)
-
-
-def _pooled(flat: np.ndarray, chunks: int, taps: np.ndarray, bias: np.ndarray, where: bool = False):
-    """(chunks, FILTERS) maxima over each chunk's places; with ``where`` also the places."""
-    out = np.zeros((chunks, FILTERS), np.float32)
-    spot = np.zeros((chunks, FILTERS), np.int64) if where else None
-    places = CHUNK // STRIDE
-    step = 128
-    for lo in range(0, chunks, step):
-        m = min(step, chunks - lo)
-        x = flat[lo * CHUNK : (lo + m) * CHUNK + WIDTH]
-        total = taps[0].take(x[: m * CHUNK : STRIDE], axis=0)
+    rows = np.lib.stride_tricks.sliding_window_view(flat, CHUNK + WIDTH)[::CHUNK].copy()
+    rows[np.cumsum(per) - 1, CHUNK:] = 0
+    return rows, per, np.repeat(np.arange(len(lengths)), per)
+
+
+def _pooled(rows: np.ndarray, taps: np.ndarray, bias: np.ndarray, where: bool = False):
+    """(chunks, FILTERS) maxima over each chunk's places; with ``where`` also the places, as positions in ``rows.ravel()``."""
+    out = np.zeros((len(rows), FILTERS), np.float32)
+    spot = np.zeros((len(rows), FILTERS), np.int64) if where else None
+    step = 64
+    for lo in range(0, len(rows), step):
+        x = rows[lo : lo + step]
+        total = taps[0].take(x[:, :CHUNK], axis=0)
         for k in range(1, WIDTH):
-            total += taps[k].take(x[k : k + m * CHUNK : STRIDE], axis=0)
-        total = total.reshape(m, places, FILTERS)
+            total += taps[k].take(x[:, k : k + CHUNK], axis=0)
         if where:
             best = total.argmax(1)
-            spot[lo : lo + m] = (np.arange(lo, lo + m)[:, None] * places + best) * STRIDE
-            out[lo : lo + m] = np.take_along_axis(total, best[:, None], 1)[:, 0]
+            spot[lo : lo + step] = np.arange(lo, lo + len(x))[:, None] * (CHUNK + WIDTH) + best
+            out[lo : lo + step] = np.take_along_axis(total, best[:, None], 1)[:, 0]
         else:
-            out[lo : lo + m] = total.max(1)
+            out[lo : lo + step] = total.max(1)
     out = np.maximum(out + bias, 0)
     return (out, spot) if where else out
 
@@ -88,8 +88,8 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int =
             part = order[lo : lo + 32]
             data = np.frombuffer(b"".join(encoded[i] for i in part), np.uint8)
             offsets = np.concatenate(([0], np.cumsum([len(encoded[i]) for i in part])))
-            flat, per, of = _chunks(data, offsets)
-            pooled, spot = _pooled(flat, len(of), _taps(p), p["b"].astype(np.float32), True)
+            chunks, per, of = _chunks(data, offsets)
+            pooled, spot = _pooled(chunks, _taps(p), p["b"].astype(np.float32), True)
             mean, hidden, prob = _head(p, pooled, per)
             y, w = labels[part], weights[part] / weights[part].sum()
             d = (prob - y) * w
@@ -99,7 +99,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int =
             dm = ((dh @ p["w1"].T) / per[:, None])[of] * (pooled > 0)
             g["b"], g["conv"], g["embed"] = dm.sum(0), np.zeros_like(p["conv"]), np.zeros_like(p["embed"])
             for k in range(WIDTH):
-                b = flat[spot + k]
+                b = chunks.ravel()[spot + k]
                 for f in range(FILTERS):
                     by = np.bincount(b[:, f], weights=dm[:, f], minlength=256)
                     g["conv"][k, :, f] = by @ p["embed"]
@@ -147,8 +147,8 @@ def score(docs: DataFrame, model: dict | float) -> DataFrame:
             if taps is None:
                 prob = np.full(batch.num_rows, p, float)
             else:
-                flat, per, of = _chunks(*raw(batch.column(1)))
-                prob = _head(p, _pooled(flat, len(of), taps, p["b"].astype(np.float32)), per)[2]
+                chunks, per, _ = _chunks(*raw(batch.column(1)))
+                prob = _head(p, _pooled(chunks, taps, p["b"].astype(np.float32)), per)[2]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prob, pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, score double")

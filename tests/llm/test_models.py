@@ -3,14 +3,17 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strataspark.llm import fingerprints as P
+from strataspark.llm import quality as Q
 from strataspark.llm.katz import K, Unigrams, discounts, katz_scores
 from strataspark.llm.language_id import identify, viterbi
 from strataspark.llm.mixing import mix_sources
 from strataspark.llm.quality import quality
+from strataspark.llm.textops import raw
 
 from .conftest import words
 
@@ -152,6 +155,31 @@ def test_quality(spark, empty):
     assert quality(empty, train, train.select("doc_id", "label")).collect() == []
 
 
+def test_a_quality_score_depends_on_the_text_alone(spark, odd):
+    rng = random.Random(6)
+    texts = ["", "z" * 512, "z" * 511, "z" * 507, "y" * 1024] + ["".join(chr(rng.randrange(33, 900)) for _ in range(rng.randrange(1, 1500))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) as label")
+    model = Q.train(docs, labels)
+    together = {r["doc_id"]: r["score"] for r in Q.score(docs.coalesce(1), model).collect()}
+    back = {r["doc_id"]: r["score"] for r in Q.score(docs.orderBy(F.desc("doc_id")).coalesce(1), model).collect()}
+    alone = {r["doc_id"]: r["score"] for r in Q.score(docs.repartition(len(texts)), model).collect()}
+    assert together == pytest.approx(back, abs=1e-6) and together == pytest.approx(alone, abs=1e-6)
+    got = quality(odd, docs, labels).collect()
+    assert len(got) == 4 and len({r["score"] for r in got if r["doc_id"] != 2}) == 1
+
+
+def test_chunks_cover_whole_texts():
+    texts = ["", "a" * 512, "bc" * 300, "d"]
+    rows, per, of = Q._chunks(*raw(pa.array(texts, pa.large_string())))
+    assert per.tolist() == [1, 1, 2, 1] and of.tolist() == [0, 1, 2, 2, 3]
+    for i, t in enumerate(texts):
+        mine = rows[of == i]
+        assert bytes(mine[:, : Q.CHUNK].ravel()).rstrip(b"\0") == t.encode()
+        assert not mine[-1, Q.CHUNK :].any()
+        assert all((x[Q.CHUNK :] == y[: Q.WIDTH]).all() for x, y in zip(mine, mine[1:]))
+
+
 def test_fingerprints(docs, rows, empty, odd):
     got = {r["doc_id"]: r for r in P.edited_fingerprints(docs).collect()}
     order = sorted(rows, key=lambda r: -r[0])
