@@ -274,8 +274,10 @@ def geotiff_roundtrip(spark, sf):
     from ..sources.geotiff import register
 
     register(spark)
-    # a folder that driver and executors share
+    # a folder that driver and executors share; a local one only where all is one machine
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = f"{(shared or tempfile.gettempdir()).removeprefix('file://').rstrip('/')}/strataspark-{uuid.uuid4().hex}.tif"
     g = _pg(spark, sf)
     src = _part(spark, sf).select("row", "col", F.col("z").cast("float").cast("double").alias("z"))
