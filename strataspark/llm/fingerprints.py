@@ -2,14 +2,15 @@
 
 Every 64-byte window of a text has an entropy.  Windows are ranked by how rare
 their entropy is in the corpus (counts in 1001 bins over all texts); a window
-that is the rarest among 64 neighbours often enough becomes a feature.
-Features go, in order, into a chain of 2048-bit Bloom filters with five bits
+that is the rarest among 64 neighbours often enough becomes a feature.  A text
+under 1024 bytes, which has few of these, is ranked by its 16-byte windows too
+(counted apart, over the texts of that length).  Features go, in order, into a chain of 2048-bit Bloom filters with five bits
 each and ``PER_FILTER`` features at most.  Likeness of two digests: for each
 filter of the shorter chain the best overlap with the other chain's filters,
 less the overlap that chance gives, averaged.
 
 Defined cases: a null text is an empty one; an empty text has the empty digest,
-like itself (1) and unlike all else (0); a text under 64 bytes is one feature;
+like itself (1) and unlike all else (0); a text under 16 bytes is one feature;
 repeated rows each get their own result.
 """
 
@@ -26,85 +27,103 @@ from pyspark.sql import functions as F
 from .common import count_blocks, mix, partitions, prepare, text_column
 from .textops import powers, slices, raw
 
-WINDOW, POPULAR, BINS, BITS, PER_FILTER, LEAST = 64, 16, 1001, 2048, 160, 100
+WINDOW, BINS, BITS, PER_FILTER, LEAST = 64, 1001, 2048, 160, 100
+#: Window width of the texts under SHORT bytes.
+NARROW, SHORT = 16, 1024
 _F = np.concatenate(([0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))))
 #: Change of sum c*log2(c) when a byte's count goes to c, in fixed point, so that sums are exact.
 _STEP = np.concatenate(([0], np.round(np.diff(_F) * (1 << 20)))).astype(np.int64)
 
 
-def entropy_bins(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and entropy bin (0 to 1000) of every window within a text."""
+def entropy_bins(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Start and entropy bin (0 to 1000) of every window (WINDOW bytes at most) within a text."""
     n = len(data)
-    if n < WINDOW:
+    if n < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     ahead, behind = np.ones(n, np.uint8), np.ones(n, np.uint8)
     block = 1 << 18
     for lo in range(0, n, block):
-        x = data[lo : lo + block + WINDOW]
+        x = data[lo : lo + block + window]
         m = min(block, n - lo)
-        for k in range(1, WINDOW):
+        for k in range(1, window):
             same = x[:-k][:m] == x[k:][:m]
             same = same.view(np.uint8)
             ahead[lo : lo + len(same)] += same
             behind[lo + k : lo + k + len(same)] += same
     change = _STEP[behind]
-    change[WINDOW:] -= _STEP[ahead[: n - WINDOW]]
+    change[window:] -= _STEP[ahead[: n - window]]
     # the first window's own counts come one by one
     counts = np.zeros(256, np.int64)
-    for i in range(WINDOW - 1):
+    for i in range(window - 1):
         counts[data[i]] += 1
         change[i] = _STEP[counts[data[i]]]
-    change[WINDOW - 1] = _STEP[behind[WINDOW - 1]]
-    total = np.cumsum(change)[WINDOW - 1 :] / float(1 << 20)
-    bins = np.clip(np.round((np.log2(WINDOW) - total / WINDOW) * (1000 / np.log2(WINDOW))), 0, 1000).astype(np.int64)
-    last = np.repeat(offsets[1:], np.diff(offsets))[: n - WINDOW + 1]
-    at = np.flatnonzero(np.arange(n - WINDOW + 1) + WINDOW <= last)
+    change[window - 1] = _STEP[behind[window - 1]]
+    total = np.cumsum(change)[window - 1 :] / float(1 << 20)
+    bins = np.clip(np.round((np.log2(window) - total / window) * (1000 / np.log2(window))), 0, 1000).astype(np.int64)
+    last = np.repeat(offsets[1:], np.diff(offsets))[: n - window + 1]
+    at = np.flatnonzero(np.arange(n - window + 1) + window <= last)
     return at, bins[at]
 
 
+def _short(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts under SHORT bytes alone: their bytes, offsets, and each byte's place in ``data``."""
+    lengths = np.diff(offsets)
+    some = lengths < SHORT
+    place = np.flatnonzero(np.repeat(some, lengths))
+    return data[place], np.concatenate(([0], np.cumsum(lengths[some]))), place
+
+
 def entropy_ranks(docs: DataFrame) -> np.ndarray:
-    """rank[bin], 0 the rarest; ties by bin. Bins under LEAST (runs of one byte) come last."""
+    """rank[width, bin], 0 the rarest, for both window widths; ties by bin. Bins under LEAST (runs of one byte) come last."""
 
     def count(batches):
-        total = np.zeros(BINS, np.int64)
+        total = np.zeros(2 * BINS, np.int64)
         for batch in slices(batches):
-            total += np.bincount(entropy_bins(*raw(batch.column(1)))[1], minlength=BINS)
+            data, offsets = raw(batch.column(1))
+            total[:BINS] += np.bincount(entropy_bins(data, offsets)[1], minlength=BINS)
+            total[BINS:] += np.bincount(entropy_bins(*_short(data, offsets)[:2], NARROW)[1], minlength=BINS)
         return total
 
     total = count_blocks(docs, count)
-    total = total if len(total) else np.zeros(BINS, np.int64)
-    total[:LEAST] += total.max() + 1
-    rank = np.empty(BINS, np.int64)
-    rank[np.argsort(total, kind="stable")] = np.arange(BINS)
+    total = (total if len(total) else np.zeros(2 * BINS, np.int64)).reshape(2, BINS)
+    rank = np.empty((2, BINS), np.int64)
+    for mine, of in zip(rank, total):
+        of[:LEAST] += of.max() + 1
+        mine[np.argsort(of, kind="stable")] = np.arange(BINS)
     return rank
 
 
+def _selected(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray, window: int) -> np.ndarray:
+    """Starts of the windows that are the rarest of ``window`` neighbours a quarter of the time, in texts without any such: once."""
+    at, bins = entropy_bins(data, offsets, window)
+    if not len(at):
+        return at
+    n, texts = len(data), len(offsets) - 1
+    size = -(-(n + window) // window) * window
+    value = np.full(size, np.int64(1) << 60)
+    value[at] = (rank[bins] << 40) | at
+    blocks = value.reshape(-1, window)
+    left = np.minimum.accumulate(blocks, axis=1).ravel()
+    right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    best = np.minimum(right[at], left[np.minimum(at + window - 1, size - 1)]) & ((1 << 40) - 1)
+    score = np.bincount(best, minlength=n)
+    doc_of = np.repeat(np.arange(texts), np.diff(offsets))
+    picked = np.flatnonzero(score >= window // 4)
+    some = np.zeros(texts, bool)
+    some[doc_of[picked]] = True
+    weak = np.flatnonzero(score > 0)
+    return np.concatenate((picked, weak[~some[doc_of[weak]]]))
+
+
 def features(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text index and 64-bit hash of each selected feature, in order of place."""
-    n, texts = len(data), len(offsets) - 1
-    at, bins = entropy_bins(data, offsets)
-    lengths = np.diff(offsets)
-    short = np.flatnonzero((lengths > 0) & (lengths < WINDOW))
-    starts, spans = [offsets[short]], [lengths[short]]
-    if len(at):
-        far = np.int64(1) << 60
-        size = -(-(n + WINDOW) // WINDOW) * WINDOW
-        value = np.full(size, far)
-        value[at] = (rank[bins] << 40) | at
-        blocks = value.reshape(-1, WINDOW)
-        left = np.minimum.accumulate(blocks, axis=1).ravel()
-        right = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        best = np.minimum(right[at], left[np.minimum(at + WINDOW - 1, size - 1)]) & ((1 << 40) - 1)
-        score = np.bincount(best, minlength=n)
-        doc_of = np.repeat(np.arange(texts), lengths)
-        picked = np.flatnonzero(score >= POPULAR)
-        some = np.zeros(texts, bool)
-        some[doc_of[picked]] = True
-        weak = np.flatnonzero(score > 0)
-        weak = weak[~some[doc_of[weak]]]
-        starts += [picked, weak]
-        spans += [np.full(len(picked) + len(weak), WINDOW)]
-    starts, spans = np.concatenate(starts), np.concatenate(spans)
+    n, lengths = len(data), np.diff(offsets)
+    tiny = np.flatnonzero((lengths > 0) & (lengths < NARROW))
+    wide = _selected(data, offsets, rank[0], WINDOW)
+    some, bounds, place = _short(data, offsets)
+    narrow = place[_selected(some, bounds, rank[1], NARROW)]
+    starts = np.concatenate((offsets[tiny], wide, narrow))
+    spans = np.concatenate((lengths[tiny], np.full(len(wide), WINDOW), np.full(len(narrow), NARROW)))
     order = np.argsort(starts, kind="stable")
     starts, spans = starts[order], spans[order]
     power, inverse = powers(n + 1)

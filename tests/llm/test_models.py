@@ -201,20 +201,58 @@ def test_fingerprints(docs, rows, empty, odd):
     assert P.likeness(one, one) == 1.0
 
 
-def test_entropy_bins():
+@pytest.mark.parametrize("window", [P.WINDOW, P.NARROW])
+def test_entropy_bins(window):
     rng = np.random.default_rng(1)
     data = rng.integers(0, 9, 700).astype(np.uint8)
     offsets = np.array([0, 100, 130, 130, 700])
-    at, bins = P.entropy_bins(data, offsets)
+    at, bins = P.entropy_bins(data, offsets, window)
     expected = {}
     for a, b in zip(offsets, offsets[1:]):
-        for i in range(a, b - P.WINDOW + 1):
-            c = np.bincount(data[i : i + P.WINDOW])
-            p = c[c > 0] / P.WINDOW
-            expected[i] = -(p * np.log2(p)).sum() / 6 * 1000
+        for i in range(a, b - window + 1):
+            c = np.bincount(data[i : i + window])
+            p = c[c > 0] / window
+            expected[i] = -(p * np.log2(p)).sum() / np.log2(window) * 1000
     assert list(at) == sorted(expected) and np.abs(bins - [expected[i] for i in at]).max() <= 0.51
 
 
+def test_features_by_brute_force():
+    """Each window picks the rarest (then first) of the neighbours that start within its width; often picked ones are features."""
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(97, 97 + k, n).astype(np.uint8).tobytes() for k, n in [(4, 0), (5, 9), (6, 16), (7, 40), (20, 64), (9, 300), (15, P.SHORT - 1), (15, P.SHORT), (3, 3000)]]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    rank = np.stack([rng.permutation(P.BINS), rng.permutation(P.BINS)])
+    expected = []
+    for t in texts:
+        spans = [t] if 0 < len(t) < P.NARROW else []
+        for r, w in zip(rank, [P.WINDOW, P.NARROW] if len(t) < P.SHORT else [P.WINDOW]):
+            at, bins = P.entropy_bins(np.frombuffer(t, np.uint8), np.array([0, len(t)]), w)
+            picks = {}
+            for i in at:
+                best = min((r[bins[j]], j) for j in range(i, min(i + w, len(at))))[1]
+                picks[best] = picks.get(best, 0) + 1
+            often = [j for j, n in picks.items() if n >= w // 4] or list(picks)
+            spans += [t[j : j + w] for j in often]
+        expected.append(spans)
+    doc, h = P.features(data, offsets, rank)
+    assert np.bincount(doc, minlength=len(texts)).tolist() == [len(x) for x in expected]
+    by_text, by_hash = {}, {}
+    for i, spans in enumerate(expected):
+        for x in spans:
+            by_text.setdefault(x, []).append(i)
+    for i, x in zip(doc.tolist(), h.tolist()):
+        by_hash.setdefault(x, []).append(i)
+    assert sorted(map(sorted, by_text.values())) == sorted(map(sorted, by_hash.values()))
+
+
+def test_short_texts_resemble_their_edits(spark):
+    rng = random.Random(8)
+    texts = [(i, language(rng, "ab"[i % 2], 12 + i % 30)) for i in range(120)]
+    got = P.edited_fingerprints(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert np.mean([r["near_edited"] for r in got]) > 0.3 > np.mean([r["near_next"] for r in got]) + 0.1
+    assert np.mean([r["near_edited"] > r["near_next"] for r in got]) > 0.9
+
+
 def test_mixing(docs, rows, empty, odd):
     got = mix_sources(docs).collect()
     size = {}
