@@ -263,7 +263,13 @@ def hex_bins(spark, sf):
     return rounded(p.withColumns({"q": q, "r": r}).groupBy("q", "r").agg(F.count("*").alias("n"), F.avg("v").alias("mean")), 4, "mean")
 
 
-@query("tile_plan")
+_TILES = """WITH b AS (SELECT -88.05e0 AS x0, 55.88e0 AS y0, -87.45e0 AS x1, 56.22e0 AS y1, 30e0 / 111320e0 AS step),
+f AS (SELECT min(n) AS n FROM b, range(1, 17) t(n) WHERE ceil((x0 + (x1 - x0) / n - x0) / step) * ceil((y0 + (y1 - y0) / n - y0) / step) * 76 * 1.3e0 <= 25165824),
+k AS (SELECT k, x0 + (x1 - x0) * (k % n) / n AS x0, y0 + (y1 - y0) * (k // n) / n AS y0, x0 + (x1 - x0) * (k % n + 1) / n AS x1, y0 + (y1 - y0) * (k // n + 1) / n AS y1, step FROM b, f, range(0, 256) t(k) WHERE k < n * n)
+SELECT CAST(k AS INTEGER) AS tile, x0, y0, x1, y1, CAST(ceil((x1 - x0) / step) AS INTEGER) AS nx, CAST(ceil((y1 - y0) / step) AS INTEGER) AS ny, ceil((x1 - x0) / step) * ceil((y1 - y0) / step) * 76 * 1.3e0 AS bytes FROM k"""
+
+
+@query("tile_plan", _TILES)
 def tile_plan(spark, sf):
     return tiles(spark, (-88.05, 55.88, -87.45, 56.22), 30.0, 19)
 
