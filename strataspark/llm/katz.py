@@ -38,15 +38,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_of, dealt, drop, mix, prepare, release, runs, unpack, written
+from .common import buckets_of, dealt, drop, mix, prepare, release, runs, trim, unpack, written
 from .common import pack as _pack
 from .textops import Words, slices
 
 pack = partial(_pack, level=3)
 K = 5
 END = np.uint64(1)
-CHUNK_BYTES = 8 << 20
-PARTITION_TOKENS = 2 << 20
+CHUNK_BYTES = 5 << 20
+PARTITION_TOKENS = 3 << 19
 LEAST_PARTITIONS = 64
 HOT_TOKENS = 1000
 
@@ -60,6 +60,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS)], ["kind", "b", "chunk", "x", "y", "z"])
 
 
+def _alone(groups, work):
+    """``work`` on a group of rows at a time: nothing of the last one is held while the next is gathered."""
+    for key, rows in groups:
+        yield from work(key, rows)
+        rows.clear()
+        trim()
+
+
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     """0..n-1, rising with the hash."""
     return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.uint16 if n <= 1 << 16 else np.int32)
@@ -310,86 +318,94 @@ class Chunk:
 
 
 def _asks(order: int, lm):
-    def each(batches):
-        for chunk, rows in buckets_of(batches, "chunk"):
-            c = Chunk(chunk, rows, lm.value)
-            if order == 2:
-                out = c.ask(c.order2)
-            else:
-                r2, _, below = c.evaluate2()
-                out = c.ask(c.grams3(r2, below)[0])
-            for lo in range(0, len(out), 32):
-                yield _batch(out[lo : lo + 32])
+    def one(chunk, rows):
+        c = Chunk(chunk, rows, lm.value)
+        if order == 2:
+            out = c.ask(c.order2)
+        else:
+            r2, _, below = c.evaluate2()
+            g = c.grams3(r2, below)[0]
+            rows.clear()
+            del c.order2, r2, below
+            trim()
+            out = c.ask(g)
+        for lo in range(0, len(out), 32):
+            yield _batch(out[lo : lo + 32])
 
-    return each
+    return lambda batches: _alone(buckets_of(batches, "chunk"), one)
 
 
 def _table(order: int, lm):
     """One partition of the n-gram table at a time: counts, and the answers to all chunks."""
 
-    def each(batches):
+    def one(b, rows):
         m = lm.value
-        for b, rows in buckets_of(batches):
-            heads = [unpack(r["x"], np.uint64, np.uint64, np.uint64, np.uint32, np.uint8) for r in rows]
-            a, b2, below, length, flags = (np.concatenate(x) for x in zip(*heads))
-            order_h = np.lexsort((b2, a))
-            new = np.concatenate(([True], (a[order_h][1:] != a[order_h][:-1]) | (b2[order_h][1:] != b2[order_h][:-1])))
-            rank = np.empty(len(a), np.int64)
-            rank[order_h] = np.cumsum(new) - 1
-            first_h = order_h[new]
-            grams = [unpack(r.pop("y"), np.uint64, np.uint32, np.uint64) for r in rows]
-            word, seen, lower = (np.concatenate(x) for x in zip(*grams))
-            sizes = [len(x[0]) for x in grams]
-            del grams
-            hist = np.repeat(rank, length)
-            order_g = np.lexsort((word, hist))
-            new = np.concatenate(([True], (hist[order_g][1:] != hist[order_g][:-1]) | (word[order_g][1:] != word[order_g][:-1])))
-            gram = np.empty(len(word), np.int64)
-            gram[order_g] = np.cumsum(new) - 1
-            first = order_g[new]
-            del order_g, word
-            r = np.bincount(gram, weights=seen).astype(np.int64)
-            low = lower[first].astype(np.int64)
-            p = m.words.p(low) if order == 2 else discounted(low, m.d[2]) / below[first_h][hist[first]]
-            classes, back = classes_of(hist[first], r, p, len(first_h))
-            out = [(STATS, b, -1, counts_of_counts(r).astype(float).tobytes(), None, None)]
-            at = at_h = 0
-            for row, head, n in zip(rows, heads, sizes):
-                open_h = head[4] < 2
-                mine, wanted = rank[at_h : at_h + len(open_h)][open_h], gram[at : at + n][np.repeat(open_h, head[3])]
-                full = (classes[mine].sum(1) == 0).astype(np.uint8)
-                mine = mine[backs_off(r[wanted], head[3][open_h])]
-                out.append((TOLD + order, b, row["chunk"], pack(r[wanted].astype(np.uint64)), pack(*classes[mine].astype(np.uint32).T.copy(), (1 - back[mine]).astype(np.float32)), pack(full)))
-                at, at_h = at + n, at_h + len(open_h)
-                if len(out) >= 64:
-                    yield _batch(out)
-                    out = []
-            for i in np.flatnonzero(flags[first_h] & 1):
-                out.append((HOT, b, -1, np.array([a[first_h[i]], b2[first_h[i]]], np.uint64).tobytes(), np.append(classes[i], back[i]).astype(float).tobytes(), None))
-            if out:
+        heads = [unpack(r["x"], np.uint64, np.uint64, np.uint64, np.uint32, np.uint8) for r in rows]
+        a, b2, below, length, flags = (np.concatenate(x) for x in zip(*heads))
+        for r in rows:
+            del r["x"]
+        order_h = np.lexsort((b2, a))
+        new = np.concatenate(([True], (a[order_h][1:] != a[order_h][:-1]) | (b2[order_h][1:] != b2[order_h][:-1])))
+        rank = np.empty(len(a), np.int64)
+        rank[order_h] = np.cumsum(new) - 1
+        first_h = order_h[new]
+        grams = [unpack(r.pop("y"), np.uint64, np.uint32, np.uint64) for r in rows]
+        word, seen, lower = (np.concatenate(x) for x in zip(*grams))
+        sizes = [len(x[0]) for x in grams]
+        del grams
+        hist = np.repeat(rank, length)
+        order_g = np.lexsort((word, hist))
+        new = np.concatenate(([True], (hist[order_g][1:] != hist[order_g][:-1]) | (word[order_g][1:] != word[order_g][:-1])))
+        gram = np.empty(len(word), np.int64)
+        gram[order_g] = np.cumsum(new) - 1
+        first = order_g[new]
+        del order_g, word
+        r = np.bincount(gram, weights=seen).astype(np.int64)
+        low = lower[first].astype(np.int64)
+        p = m.words.p(low) if order == 2 else discounted(low, m.d[2]) / below[first_h][hist[first]]
+        classes, back = classes_of(hist[first], r, p, len(first_h))
+        del hist, first, low, p, seen, lower
+        out = [(STATS, b, -1, counts_of_counts(r).astype(float).tobytes(), None, None)]
+        at = at_h = 0
+        for row, head, n in zip(rows, heads, sizes):
+            open_h = head[4] < 2
+            mine, wanted = rank[at_h : at_h + len(open_h)][open_h], gram[at : at + n][np.repeat(open_h, head[3])]
+            full = (classes[mine].sum(1) == 0).astype(np.uint8)
+            mine = mine[backs_off(r[wanted], head[3][open_h])]
+            out.append((TOLD + order, b, row["chunk"], pack(r[wanted].astype(np.uint64)), pack(*classes[mine].astype(np.uint32).T.copy(), (1 - back[mine]).astype(np.float32)), pack(full)))
+            at, at_h = at + n, at_h + len(open_h)
+            if len(out) >= 64:
                 yield _batch(out)
+                out = []
+        for i in np.flatnonzero(flags[first_h] & 1):
+            out.append((HOT, b, -1, np.array([a[first_h[i]], b2[first_h[i]]], np.uint64).tobytes(), np.append(classes[i], back[i]).astype(float).tobytes(), None))
+        if out:
+            yield _batch(out)
 
-    return each
+    return lambda batches: _alone(buckets_of(batches), one)
 
 
 def _documents(lm):
-    def each(batches):
-        for chunk, rows in buckets_of(batches, "chunk"):
-            c = Chunk(chunk, rows, lm.value)
-            u = c.m.words
-            r2, p2, below = c.evaluate2()
-            p = p2[c.order2.at]
-            g, at = c.grams3(r2, below)
-            if len(at):
-                lower = np.empty(len(g.hist))
-                lower[g.at] = p[at]
-                p[at] = c.answered(g, 3, lower)[1][g.at]
-            count = c.count[c.word]
-            base, score = np.log10((count + 1) / (u.total + u.types + 1)), np.log10(p)
-            known = np.add.reduceat((count > 0).astype(np.int64), c.starts)
-            yield pa.RecordBatch.from_arrays([pa.array(c.ids, mask=(c.flags & 2) > 0), pa.array((c.flags & 1) == 0), pa.array(c.counts), pa.array(known), pa.array(np.add.reduceat(base, c.starts)), pa.array(np.add.reduceat(score, c.starts))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    return each
+    def one(chunk, rows):
+        c = Chunk(chunk, rows, lm.value)
+        u = c.m.words
+        r2, p2, below = c.evaluate2()
+        p = p2[c.order2.at]
+        g, at = c.grams3(r2, below)
+        # order three is the largest step: what only order two needs goes first
+        rows[:] = [r for r in rows if r["kind"] == TOLD + 3]
+        del c.order2, r2, p2, below
+        trim()
+        if len(at):
+            lower = np.empty(len(g.hist))
+            lower[g.at] = p[at]
+            p[at] = c.answered(g, 3, lower)[1][g.at]
+        count = c.count[c.word]
+        base, score = np.log10((count + 1) / (u.total + u.types + 1)), np.log10(p)
+        known = np.add.reduceat((count > 0).astype(np.int64), c.starts)
+        yield pa.RecordBatch.from_arrays([pa.array(c.ids, mask=(c.flags & 2) > 0), pa.array((c.flags & 1) == 0), pa.array(c.counts), pa.array(known), pa.array(np.add.reduceat(base, c.starts)), pa.array(np.add.reduceat(score, c.starts))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return lambda batches: _alone(buckets_of(batches, "chunk"), one)
 
 
 # ---------------------------------------------------------------- driver

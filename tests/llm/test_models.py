@@ -289,3 +289,25 @@ def test_mixing(docs, rows, empty, odd):
     again = {r["doc_id"]: r["taken"] for r in mix_sources(docs.repartition(7)).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in got}
     assert mix_sources(empty).collect() == [] and len(mix_sources(odd).collect()) == 4
+
+
+def test_katz_holds_one_group_at_a_time():
+    """What a group needed is freed before the next one is gathered."""
+    import weakref
+
+    from strataspark.llm import katz
+
+    seen = []
+
+    def groups():
+        for k in range(3):
+            rows = [{"x": k}]
+            yield k, rows
+            assert seen[-1]() is None and rows == []
+
+    def work(key, rows):
+        held = np.zeros(10)
+        seen.append(weakref.ref(held))
+        yield key, len(rows)
+
+    assert list(katz._alone(groups(), work)) == [(0, 1), (1, 1), (2, 1)]
